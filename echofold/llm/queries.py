@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, sharding, simhash
+from . import linededup, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op3_simhash_near_dedup": simhash.query,
     "op5_mixing": mixing.query,
     "op7_sharding": sharding.query,
+    "op8_toxicity": toxicity.query,
     "op10_line_dedup": linededup.query,
 }
 
