@@ -10,8 +10,6 @@ row a slot holds, without any table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -83,11 +81,12 @@ def numbered(df: DataFrame, id_col: str, per_bucket: int = 100_000, out: str = "
     edges = np.array(cuts)
 
     @F.pandas_udf("int")
-    def bucket(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in ids:
-            none = s.isna()
-            got = np.searchsorted(edges, s.fillna(0).astype(edges.dtype).to_numpy(), "right") if len(edges) else np.zeros(len(s), int)
-            yield pd.Series(np.where(none, len(edges) + 1, got).astype("int32"))
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), "right").astype("int32"))
+
+    def bucket(c):
+        known = place(F.coalesce(c, F.lit(cuts[0]))) if cuts else F.lit(0)
+        return F.when(c.isNull(), len(cuts) + 1).otherwise(known)
 
     with_bucket = df.withColumn("__b", bucket(F.col(id_col)))
     rows = df.select(id_col).withColumn("__b", bucket(F.col(id_col))).groupBy("__b").count().collect()
