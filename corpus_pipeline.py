@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echofold.llm import common, linededup, mixing, simhash
+from echofold.llm import common, linededup, mixing, packing, simhash, toxicity
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("line dedup", linededup.stage),
     ("SimHash near-dedup", simhash.stage),
     ("mixing sources to target weights", mixing.stage),
+    ("best-fit packing", packing.stage),
 ]
 
 #: Stages are models, searches and packings that SQL can't express.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forest, linededup, mixing, packing, search, sharding, simhash, tokens, toxicity
+from . import forest, linededup, mixing, packing, search, sharding, simhash, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": tokens.query,
     "op7_sharding": sharding.query,
     "op8_toxicity": toxicity.query,
+    "op9_suffix_array_dedup": suffix.query,
     "op10_line_dedup": linededup.query,
 }
 
@@ -22,5 +23,6 @@ SQL = {
     "op4_embedding_near_dedup": forest.SQL,
     "op5_mixing": mixing.SQL,
     "op7_sharding": sharding.sql(),
+    "op9_suffix_array_dedup": suffix.SQL,
     "op10_line_dedup": linededup.SQL,
 }
