@@ -129,6 +129,27 @@ def windows(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return window, np.repeat(doc[start], runs)
 
 
+def _texts_by_bucket(doc: np.ndarray, ids: np.ndarray, bucket: np.ndarray, word: np.ndarray, words: int, step: int = 50_000) -> np.ndarray:
+    """In how many texts each bucket stands, for those that too few hold can't be learnt from; a slice of the texts at a time."""
+    order = np.argsort(word, kind="stable")
+    by_word = bucket[order]
+    size = np.bincount(word, minlength=words)
+    first = np.cumsum(size) - size
+    pairs = np.unique(doc * words + ids)
+    out = np.zeros(BUCKETS, np.int32)
+    cut = 0
+    while cut < len(pairs):
+        # whole texts only, or a text's bucket would count twice
+        end = min(len(pairs), cut + step)
+        end = int(np.searchsorted(pairs, (pairs[end - 1] // words + 1) * words))
+        d, w = pairs[cut:end] // words, pairs[cut:end] % words
+        n = size[w]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[w], n)
+        out += np.bincount(np.unique(np.repeat(d, n) * BUCKETS + by_word[at]) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+        cut = end
+    return out
+
+
 def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 7) -> Model:
     """All vectors, the softmax and its bias, by gradient descent with momentum on the whole sample.
 
@@ -152,23 +173,18 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 7)
         return Model(np.zeros(BUCKETS), -np.inf, 0.5)
     ids, doc = np.array(ids), np.concatenate(docs)
     some = list(grams([" ".join(known)]))
-    bucket, word = np.concatenate([x[0] for x in some]).astype(np.int64), np.concatenate([x[1] for x in some])
+    bucket, word = np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some]).astype(np.int32)
+    del some
     share = 1 / np.bincount(word, minlength=len(known))
-    # buckets that too few texts hold can't be learnt from: their vectors stay zero
-    holds = np.unique(doc * len(known) + ids)
-    size = np.bincount(word, minlength=len(known))
-    grams_at = bucket[np.argsort(word, kind="stable")]
-    first = np.cumsum(size) - size
-    w = holds % len(known)
-    spread = np.repeat(holds // len(known), size[w]) * BUCKETS + grams_at[np.arange(size[w].sum()) - np.repeat(np.cumsum(size[w]) - size[w], size[w]) + np.repeat(first[w], size[w])]
-    common_ = np.bincount(np.unique(spread) % BUCKETS, minlength=BUCKETS) >= LEAST
-    del spread
-    bucket, word = bucket[common_[bucket]], word[common_[bucket]]
+    held_by = _texts_by_bucket(doc, ids, bucket, word, len(known))
+    bucket, word = bucket[held_by[bucket] >= LEAST], word[held_by[bucket] >= LEAST]
     window, owner = windows(doc)
     at = np.unique(window * len(known) + ids)
     window, ids = at // len(known), at % len(known)
     scale = WINDOW / np.maximum(np.bincount(window), WINDOW)
-    used, code = np.unique(bucket, return_inverse=True)
+    used = np.unique(bucket)
+    code = np.searchsorted(used, bucket).astype(np.int32)
+    del bucket
     vectors, rows, bias = rng.normal(0, 0.01, (len(used), DIM)), rng.normal(0, 0.3, (2, DIM)), -2.0
     speed = [np.zeros_like(vectors), np.zeros_like(rows), 0.0]
     texts_with = np.unique(owner)
