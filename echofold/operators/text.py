@@ -99,3 +99,44 @@ def fingerprint(text: Column) -> Column:
 def has_location_directive(text: Column) -> Column:
     """Whether any line starts, after blanks, with ``#sourceLocation``, even inside comments and strings."""
     return F.coalesce(text.rlike(r"(^|[\r\n])[ \t]*#sourceLocation"), F.lit(False))
+
+
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Token units of any table of texts, in the columns that the code lexer gives; a word's column is its place in the line.
+
+    ``unit`` is the id, ``path`` the id as text; each line that has words begins
+    a segment. Null texts have no tokens. Words are of no kind: only code names
+    are renamed in shingles.
+    """
+    per_line = F.transform(
+        split_lines(F.coalesce(F.col(text_col), F.lit(""))),
+        lambda l, i: F.transform(
+            line_words(l),
+            lambda w, j: F.struct(w.alias("raw"), norm(w).alias("norm"), F.lit(UNKNOWN).cast("tinyint").alias("kind"), (i + 1).alias("line"), (j + 1).alias("col")),
+        ),
+    )
+    n = F.size("toks")
+    every = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    new = F.filter(every, lambda i: (i == 0) | (F.get("toks", i)["line"] != F.get("toks", i - 1)["line"]))
+    return docs.select(F.col(id_col).alias("unit"), F.col(id_col).cast("string").alias("path"), F.flatten(per_line).alias("toks")).select(
+        "unit",
+        "path",
+        "toks",
+        new.alias("bounds"),
+        F.array().cast("array<struct<line:int,kind:string,rules:array<string>,reason:string>>").alias("directives"),
+        F.lit(False).alias("located"),
+    )
+
+
+def unit_segments(units: DataFrame) -> DataFrame:
+    """(unit, path, line, base, toks, raw, norm): token units cut at their boundaries; ``line`` numbers the segments of a unit.
+
+    Units with a location directive are left out, as repeats in them have no lines to report.
+    """
+    starts = F.array_sort(F.array_union(F.array(F.lit(0)), F.col("bounds")))
+    each = F.transform(
+        F.col("__s"),
+        lambda s, i: F.struct(i.alias("line"), s.alias("base"), F.slice("toks", s + 1, F.coalesce(F.get("__s", i + 1), F.size("toks")) - s).alias("toks")),
+    )
+    cut = units.where(~F.col("located")).withColumn("__s", starts).select("unit", "path", F.inline(each))
+    return cut.withColumn("raw", F.transform("toks", lambda t: t["raw"])).withColumn("norm", F.transform("toks", lambda t: t["norm"]))
