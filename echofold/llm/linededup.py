@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MOST = 6
+NAMES = ["n_lines", "n_dropped", "__n", "__kept"]
 GAMMA = 2
 U = np.uint64
 
@@ -188,7 +189,7 @@ def dedup(docs: DataFrame, most: int = MOST, per_shard: int = 200_000, text_col:
     n_lines or n_dropped get the suffix ``_in``. An empty table gives an empty
     result. Lines are told apart by 64-bit hashes.
     """
-    docs = common.clear_names(docs, ["n_lines", "n_dropped"])
+    docs = common.clear_names(docs, NAMES)
     folder, shards = index(line_counts(docs, text_col), per_shard)
     text = F.col(text_col)
     hashes = F.transform(lines(text), line_hash)
@@ -209,7 +210,8 @@ def dedup(docs: DataFrame, most: int = MOST, per_shard: int = 200_000, text_col:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without common lines; n_chars follows the text."""
     out = dedup(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*common.clear_names(docs, NAMES).columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", shards: int = 64, seed: int =
     part. Columns of these names in the input get the suffix ``_in``. An empty
     table gives an empty result.
     """
-    names = ["row_number", "position", "shard", "slot"]
+    names = ["row_number", "position", "shard", "slot", "__b", "__k", "__first"]
     docs = common.clear_names(docs, names)
     n = docs.count()
 
