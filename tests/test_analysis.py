@@ -54,7 +54,7 @@ def test_near_in_one_file(spark):
 
 
 def test_clean_and_odd_sources(spark):
-    periodic = "struct T {\n" + "".join(f"    let a{i} = {i}\n" for i in range(60)) + "}\n"
+    periodic = "struct T {\n" + "".join(f"    let a{i} = {i}\n" for i in range(20)) + "}\n"
     assert told(report(spark, A=periodic, B="", C="\"unclosed", D="func tiny() { 1 }\n", E="}}}")) == []
 
 
