@@ -21,10 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 
 MOST = 6
-NAMES = ["n_lines", "n_dropped", "__n", "__kept"]
+NAMES = ["n_lines", "n_dropped", "__n", "__f", "__kept"]
 GAMMA = 2
 U = np.uint64
 
@@ -177,14 +177,31 @@ def prober(folder: str, shards: int):
     return probe
 
 
-def dedup(docs: DataFrame, most: int = MOST, per_shard: int = 200_000, text_col: str = "text") -> DataFrame:
+def family_counts(docs: DataFrame, counts: Column, most: int, text_col: str = "text") -> DataFrame:
+    """(h, n): hashes of lines that more than ``most`` distinct texts hold, and in how many near-dup groups of texts.
+
+    ``counts`` are the numbers of texts by line. Groups are those of SimHash
+    among the texts that hold such a line; only these are fingerprinted.
+    """
+    hashes = F.transform(lines(F.col(text_col)), line_hash)
+    held = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"), hashes.alias("hs"), counts.alias("n")).select(
+        "t", "text", F.array_distinct(F.filter("hs", lambda h, i: F.get("n", i) > most)).alias("hs")
+    ).where(F.size("hs") > 0)
+    family = simhash.groups(held, id_col="t").select(F.col("doc_id").alias("t"), "group_id").distinct()
+    rows = held.select("t", F.explode("hs").alias("h")).distinct()
+    return rows.join(family, "t").select("h", "group_id").distinct().groupBy("h").agg(F.count("*").alias("n"))
+
+
+def dedup(docs: DataFrame, most: int = MOST, per_shard: int = 200_000, text_col: str = "text", families: bool = False) -> DataFrame:
     """``docs`` with common lines taken out of ``text_col``, and ``n_lines`` and ``n_dropped``.
 
     A line, without spaces at its ends, is common if more than ``most``
     distinct texts hold it; copies of a whole text count once. All common lines
     go, wherever they stand; blank lines and the order stay. A text made up of
     common and blank lines alone stays as it is: whole copies are the near-dup
-    stage's work. Null texts stay null, with 0 lines; empty texts have one
+    stage's work. With ``families``, near copies of whole texts, as SimHash
+    groups them, count once too: prose that stands in the variants of one text
+    alone isn't common and stays in all of them. Null texts stay null, with 0 lines; empty texts have one
     blank line. Repeated rows are treated alike. Columns of the input named
     n_lines or n_dropped get the suffix ``_in``. An empty table gives an empty
     result. Lines are told apart by 64-bit hashes.
@@ -193,9 +210,12 @@ def dedup(docs: DataFrame, most: int = MOST, per_shard: int = 200_000, text_col:
     folder, shards = index(line_counts(docs, text_col), per_shard)
     text = F.col(text_col)
     hashes = F.transform(lines(text), line_hash)
-    out = docs.withColumn("__n", prober(folder, shards)(hashes)).withColumn(
-        "__kept", F.filter(lines(text), lambda x, i: (F.trim(x) == "") | (F.get("__n", i) <= most))
-    )
+    out = docs.withColumn("__n", prober(folder, shards)(hashes)).withColumn("__f", F.col("__n"))
+    if families:
+        # the second index has common lines alone, so the first says which of its answers count
+        folder, shards = index(family_counts(docs, prober(folder, shards)(hashes), most, text_col), per_shard)
+        out = out.withColumn("__f", prober(folder, shards)(hashes))
+    out = out.withColumn("__kept", F.filter(lines(text), lambda x, i: (F.trim(x) == "") | (F.get("__n", i) <= most) | (F.get("__f", i) <= most)))
     some = F.exists("__kept", lambda x: F.trim(x) != "")
     kept = F.when(some, F.col("__kept")).otherwise(lines(text))
     n = F.when(text.isNull(), 0).otherwise(F.size(lines(text)))
@@ -203,13 +223,13 @@ def dedup(docs: DataFrame, most: int = MOST, per_shard: int = 200_000, text_col:
         out.withColumn("n_lines", n)
         .withColumn("n_dropped", F.when(text.isNull(), 0).otherwise(F.size(lines(text)) - F.size(kept)))
         .withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(text))
-        .drop("__n", "__kept")
+        .drop("__n", "__f", "__kept")
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without common lines; n_chars follows the text."""
-    out = dedup(docs)
+    """Documents without lines common to more than ``MOST`` near-dup groups of texts; n_chars follows the text."""
+    out = dedup(docs, families=True)
     out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*common.clear_names(docs, NAMES).columns).toDF(*docs.columns)
 

@@ -98,6 +98,19 @@ def test_line_dedup(spark, texts):
     assert "this very line" not in out["text"] and out["n_chars"] == len(out["text"])
 
 
+def test_prose_of_near_copies_stays(spark):
+    rng = random.Random(21)
+    base = [prose(rng, 40) for _ in range(12)]
+    notice = prose(rng, 8)
+    copies = ["\n".join([*base[: i % 12], base[i % 12].replace(" ", f" {prose(rng, 1)} ", 1), *base[i % 12 + 1 :], notice]) for i in range(30)]
+    others = [f"{prose(rng, 60)}\n{notice}" for _ in range(9)]
+    docs = spark.createDataFrame(rows_of(copies + others), SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in linededup.stage(spark, docs, "").collect()}
+    assert got == {i: t.rsplit("\n", 1)[0] for i, t in enumerate(copies + others)}
+    left = simhash.stage(spark, linededup.stage(spark, docs, ""), "").collect()
+    assert {r["doc_id"] for r in left} == {0, *range(30, 39)} and base[5] in left[[r["doc_id"] for r in left].index(0)]["text"]
+
+
 def spans(texts, least):
     seen, out = set(), []
     for d, t in enumerate(texts):
