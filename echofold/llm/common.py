@@ -7,11 +7,16 @@ and files go to the shared folder that ``spark.checkpoint.dir`` names.
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +40,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: a checkpoint in columns, far smaller than one of rows."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_names(df: DataFrame, names: list[str]) -> DataFrame:
     """Columns of the input whose names a result needs get the suffix ``_in``."""
     taken = {x.lower() for x in names}
@@ -55,10 +67,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@F.pandas_udf(T.IntegerType())
+def _words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield pd.Series([0 if t is None else len(t.split()) for t in s], dtype="int32")
+
+
 def words(text: Column) -> Column:
-    """Number of words parted by white space; 0 for null and for blank text."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.translate(t, " ", "")) + 1)
+    """Number of words parted by white space, as ``str.split`` does it everywhere here; 0 for null and for blank text."""
+    return _words(text)
+
+
+def slices(text: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` characters, or of one longer text, so that a batch's words are never all in memory."""
+    size = pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield at, to
+        at = to
 
 
 class Forest:
@@ -142,7 +170,3 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 def pieces(n: int, size: int) -> int:
     return max(1, -(-n // size))
-
-
-def frame(**columns) -> pd.DataFrame:
-    return pd.DataFrame(columns)

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -203,110 +204,182 @@ def blind_sort(keys: list[bytes], known: int) -> list[list[int]]:
     return out
 
 
+class _Keys:
+    """Keys of LEAST words at places of one byte string, cut out only while they are looked at."""
+
+    def __init__(self, raw: bytes, starts: list[int]):
+        self.raw, self.starts = raw, starts
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, i: int) -> bytes:
+        s = self.starts[i]
+        return self.raw[8 * s : 8 * (s + LEAST)]
+
+
 def repeats(text: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """Groups of suffixes that share LEAST words, in the order of the suffix array."""
     raw = text.astype(">u8").tobytes()
     out = []
     for group in shallow_sort(text, starts):
         if len(group) > 1:
-            keys = [raw[8 * s : 8 * (s + LEAST)] for s in starts[group].tolist()]
-            out += [group[x] for x in blind_sort(keys, SHALLOW) if len(x) > 1]
+            out += [group[x] for x in blind_sort(_Keys(raw, starts[group].tolist()), SHALLOW) if len(x) > 1]
     return out
 
 
-def _marked(doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    """Spans of the words under runs that start at (doc, at)."""
+def _marked(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of the spans of words under runs that start at (doc, at)."""
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
     new = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + LEAST)] if len(doc) else np.zeros(0, bool)
     head = np.flatnonzero(new)
     last = np.r_[head[1:], len(doc)] - 1 if len(head) else head
-    return pd.DataFrame({"doc_id": doc[head], "s": at[head], "e": at[last] + LEAST})
+    return doc[head], at[head], at[last] + LEAST
+
+
+def _anchored(texts: list[str]):
+    """(words, start, anchor, its hash, text of each start, first word of each text) of a slice of texts."""
+    words, many = word_hashes(texts)
+    start, at, h = anchors(words, many)
+    first = np.cumsum(many) - many
+    return words, start, at, h, np.searchsorted(first + many, start, "right"), first
+
+
+def anchor_rows(docs: DataFrame, id_type: str) -> DataFrame:
+    """(doc_id, t, k, at) of (doc_id, t, text): every anchor of every text, with its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, t, text = batch.columns
+            for a, b in common.slices(text):
+                _, _, at, h, doc, first = _anchored(text[a:b].to_pylist())
+                new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+                row = pa.array(a + doc[new])
+                place = pa.array((at[new] - first[doc[new]]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.take(row), t.take(row), pa.array(h[new].view(np.int64)), place], names=["doc_id", "t", "k", "at"])
+
+    return docs.mapInArrow(run, f"doc_id {id_type}, t long, k long, at int")
+
+
+def context_rows(held: DataFrame, parts: int, id_type: str) -> DataFrame:
+    """(part, salt, doc_id, t, lo, runs, words) of (doc_id, t, text, ats): for each wanted anchor its run of suffixes.
+
+    ``words`` are the hashes of all words under the suffixes, the first of which starts at ``lo``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, t, text, ats = batch.columns
+            own = t.to_numpy(zero_copy_only=False)
+            for a, b in common.slices(text):
+                words, start, at, h, doc, first = _anchored(text[a:b].to_pylist())
+                told = ats[a:b]
+                sizes = told.value_lengths().to_numpy(zero_copy_only=False)
+                flat = told.flatten()
+                wanted = flat.field("at").to_numpy(zero_copy_only=False) + np.repeat(first, sizes)
+                ways = flat.field("ways").to_numpy(zero_copy_only=False)
+                by = np.argsort(wanted, kind="stable")
+                wanted, ways = wanted[by], ways[by]
+                found = np.minimum(np.searchsorted(wanted, at), max(len(wanted) - 1, 0))
+                use = np.flatnonzero(wanted[found] == at) if len(wanted) else np.zeros(0, np.int64)
+                start, at, h, doc, ways = start[use], at[use], h[use], doc[use], ways[found[use]] if len(use) else ways[:0]
+                head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+                runs = np.diff(np.r_[head, len(at)])
+                row = a + doc[head]
+                salt = (_spread(own[row]) % ways[head].astype(U)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((h[head] % U(parts)).astype(np.int64)),
+                        pa.array(salt),
+                        ids.take(pa.array(row)),
+                        t.take(pa.array(row)),
+                        pa.array(start[head] - first[doc[head]]),
+                        pa.array(runs),
+                        pa.array([words[s : s + r - 1 + LEAST].tobytes() for s, r in zip(start[head].tolist(), runs.tolist())], pa.binary()),
+                        pa.array(ways[head] > 1),
+                    ],
+                    names=["part", "salt", "doc_id", "t", "lo", "runs", "words", "hot"],
+                )
+
+    return held.mapInArrow(run, f"part long, salt long, doc_id {id_type}, t long, lo long, runs long, words binary, hot boolean")
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = x.astype(np.int64).view(U) * U(BASE)
+        return x ^ (x >> U(29))
+
+
+def sort_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, t, s, e, key) of one part's contexts: spans of late suffixes, and, with a key, the first of each kind of suffix of hot anchors."""
+    pdf = pdf.sort_values(["doc_id", "t", "lo"], kind="stable").drop_duplicates(["doc_id", "t", "lo"], ignore_index=True)
+    ids, t = pdf["doc_id"], pdf["t"]
+    code = ((ids != ids.shift()) | (t != t.shift())).cumsum().to_numpy() - 1
+    where = np.flatnonzero(np.r_[True, np.diff(code) > 0])
+    runs, lo = pdf["runs"].to_numpy(), pdf["lo"].to_numpy()
+    # equal contexts: the first stands for all, and all suffixes of the others are late
+    twin = pdf["words"].duplicated().to_numpy()
+    out = [(code[twin], lo[twin], lo[twin] + runs[twin] - 1 + LEAST)]
+    one = np.flatnonzero(~twin)
+    runs, lo, doc, hot = runs[one], lo[one], code[one], pdf["hot"].to_numpy()[one]
+    text = np.frombuffer(b"".join(pdf["words"].iloc[one]), U)
+    size = runs + LEAST - 1
+    inner = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    starts = np.repeat(np.cumsum(size) - size, runs) + inner
+    doc, at, hot = np.repeat(doc, runs), np.repeat(lo, runs) + inner, np.repeat(hot, runs)
+    # suffixes are numbered by (doc_id, place), so the least number of a group is the first occurrence
+    late = [g[g != g.min()] for g in repeats(text, starts)]
+    late = np.concatenate(late) if late else np.zeros(0, np.int64)
+    out.append(_marked(doc[late], at[late]))
+    doc_, s, e = (np.concatenate(x) for x in zip(*out))
+    got = pd.DataFrame({"row": where[doc_], "s": s, "e": e, "key": None})
+    if hot.any():
+        lead = hot.copy()
+        lead[late] = False
+        lead = np.flatnonzero(lead)
+        raw = text.tobytes()
+        keys = [xxhash.xxh3_128_digest(raw[8 * x : 8 * (x + LEAST)]) for x in starts[lead].tolist()]
+        got = pd.concat([got, pd.DataFrame({"row": where[doc[lead]], "s": at[lead], "e": at[lead] + LEAST, "key": keys})])
+    at = got["row"].to_numpy()
+    return pd.DataFrame({"doc_id": ids.to_numpy()[at], "t": t.to_numpy()[at], "s": got["s"].to_numpy(), "e": got["e"].to_numpy(), "key": got["key"].to_numpy()})
 
 
 def spans(docs: DataFrame, per_part: int = PER_PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word): words under a repeat of LEAST words or more whose first occurrence is elsewhere.
 
-    Words are parted by white space and compared exactly, up to 64-bit hashes;
-    spans don't overlap or touch. A repeat within one text counts like one
-    across texts. Texts that are null or have fewer than LEAST words have none.
-    Rows without an id are left out; a repeated row is a copy of the first and
-    wholly a duplicate, listed under the same id. Whole copies of a text are
-    found by its md5, so that any number of them costs one. Other columns are
+    Words are parted by white space, as ``str.split`` does it, and compared
+    exactly, up to 64-bit hashes; spans don't overlap or touch. A repeat within
+    one text counts like one across texts. Texts that are null or have fewer
+    than LEAST words have none. Rows without an id are left out, and a repeated
+    row counts once; of different texts under one id the one of lesser hash is
+    the first. Whole copies of a text are found by its md5, so that any number
+    of them costs one. An anchor with more than ``per_part`` occurrences is
+    sorted in several parts, whose first suffixes are then compared by hashes of
+    128 bits, so no task holds all of a passage's occurrences. Other columns are
     not read. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-
-    @F.pandas_udf("array<struct<k: long, at: int>>")
-    def anchor(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            words, many = word_hashes(s.tolist())
-            start, at, h = anchors(words, many)
-            first = np.cumsum(many) - many
-            new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
-            at, h = at[new], h[new].view(np.int64)
-            doc = np.searchsorted(first + many, at, "right")
-            cut = np.searchsorted(doc, np.arange(len(s) + 1))
-            place = at - first[doc]
-            yield pd.Series([[{"k": k, "at": p} for k, p in zip(h[a:b].tolist(), place[a:b].tolist())] for a, b in zip(cut[:-1], cut[1:])], dtype=object)
-
-    hashed = common.checkpoint(rows.select("doc_id", F.md5("text").alias("t"), common.words(F.col("text")).alias("n")))
-    same = Window.partitionBy("t").orderBy("doc_id")
-    ranked = hashed.withColumn("r", F.row_number().over(same))
-    copies = ranked.where((F.col("r") > 1) & (F.col("n") >= LEAST)).select("doc_id", F.lit(0).alias("s"), F.col("n").alias("e"))
-
-    found = rows.select("doc_id", F.xxhash64("text").alias("t"), F.explode(anchor("text")).alias("a")).select("doc_id", "t", "a.k", "a.at")
-    each = found.repartition("k").groupBy("k", "t", "at").agg(F.min("doc_id").alias("doc_id"))
-    shared = each.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
-    per_doc = common.checkpoint(shared.groupBy("doc_id", "t").agg(F.collect_list("at").alias("ats"), F.count("*").alias("c")))
-    total = per_doc.agg(F.sum("c")).first()[0] or 0
-    parts = common.pieces(total, per_part)
-
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            words, many = word_hashes(texts)
-            start, at, h = anchors(words, many)
-            first = np.cumsum(many) - many
-            doc = np.searchsorted(first + many, start, "right")
-            wanted = np.concatenate([np.asarray(a, dtype=np.int64) + f for a, f in zip(pdf["ats"], first)])
-            use = np.isin(at, wanted)
-            start, at, h, doc = start[use], at[use], h[use], doc[use]
-            head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-            runs = np.diff(np.r_[head, len(at)])
-            ids = pdf["doc_id"].to_numpy()
-            yield pd.DataFrame(
-                {
-                    "doc_id": ids[doc[head]],
-                    "part": (h[head] % U(parts)).astype(np.int64),
-                    "lo": start[head] - first[doc[head]],
-                    "runs": runs,
-                    "words": [words[s : s + r - 1 + LEAST].tobytes() for s, r in zip(start[head].tolist(), runs.tolist())],
-                }
-            )
-
-    held = rows.withColumn("t", F.xxhash64("text")).join(per_doc.withColumnRenamed("doc_id", "__d").withColumnRenamed("t", "__t"), (F.col("doc_id") == F.col("__d")) & (F.col("t") == F.col("__t")))
-    pieces = held.select("doc_id", "text", "ats").mapInPandas(contexts, "doc_id long, part long, lo long, runs long, words binary")
-    # equal contexts: the first stands for all, and all runs of the others are duplicates
-    like = Window.partitionBy("part", "words").orderBy("doc_id", "lo")
-    pieces = common.checkpoint(pieces.repartition("part").withColumn("r", F.row_number().over(like)))
-    twins = pieces.where("r > 1").select("doc_id", F.col("lo").cast("int").alias("s"), (F.col("lo") + F.col("runs") - 1 + LEAST).cast("int").alias("e"))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "lo"], kind="stable")
-        runs, lo, ids = pdf["runs"].to_numpy(), pdf["lo"].to_numpy(), pdf["doc_id"].to_numpy()
-        text = np.frombuffer(b"".join(pdf["words"]), U)
-        size = runs + LEAST - 1
-        inner = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-        starts = np.repeat(np.cumsum(size) - size, runs) + inner
-        doc, at = np.repeat(ids, runs), np.repeat(lo, runs) + inner
-        # suffixes are numbered by (doc_id, place), so the least number of a group is the first occurrence
-        late = [g[g != g.min()] for g in repeats(text, starts)]
-        late = np.concatenate(late) if late else np.zeros(0, np.int64)
-        return _marked(doc[late], at[late])
-
-    again = pieces.where("r = 1").select("part", "doc_id", "lo", "runs", "words").groupBy("part").applyInPandas(build, "doc_id long, s int, e int")
-    every = copies.unionByName(twins).unionByName(again)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    each = common.checkpoint(rows.select("doc_id", F.md5("text").alias("m"), common.words(F.col("text")).alias("n")).distinct())
+    firsts = each.groupBy("m").agg(F.min("doc_id").alias("d"), F.count("*").alias("c")).where("c > 1").select("m", "d")
+    copies = each.where(F.col("n") >= LEAST).join(firsts, "m").where(F.col("doc_id") != F.col("d")).select("doc_id", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
+
+    found = common.written(anchor_rows(rows.select("doc_id", "t", "text"), id_type))
+    spot = F.xxhash64("t", "at")
+    often = found.groupBy("k").agg(F.count("*").alias("c"), F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi")
+    often = often.select("k", F.ceil(F.col("c") / F.lit(per_part)).cast("int").alias("ways"))
+    shared = found.join(often, "k").groupBy("t", "doc_id").agg(F.collect_set(F.struct("at", "ways")).alias("ats"))
+    # of the copies of a text the first stands for all
+    per_doc = common.checkpoint(shared.groupBy("t").agg(F.min_by(F.struct("doc_id", "ats"), "doc_id").alias("x")).select(F.col("x.doc_id").alias("d"), F.col("t").alias("u"), "x.ats"))
+    parts = common.pieces(per_doc.agg(F.sum(F.size("ats"))).first()[0] or 0, per_part)
+
+    held = rows.join(per_doc, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("u"))).select("doc_id", "t", "text", "ats")
+    sorted_ = common.checkpoint(context_rows(held, parts, id_type).groupBy("part", "salt").applyInPandas(sort_part, f"doc_id {id_type}, t long, s int, e int, key binary"))
+    leads = sorted_.where("key is not null")
+    least = leads.groupBy("key").agg(F.min(F.struct("doc_id", "t", "s")).alias("p"))
+    later = leads.join(least, "key").where(F.struct("doc_id", "t", "s") != F.col("p"))
+    every = copies.unionByName(sorted_.where("key is null").select("doc_id", "s", "e")).unionByName(later.select("doc_id", "s", "e"))
     by = Window.partitionBy("doc_id").orderBy("s", "e")
     before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))
