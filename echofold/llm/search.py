@@ -1,28 +1,34 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A vector's code is the signs of its components. Codes are cut into segments,
-each with a table. For a query, tables are looked up at segment radius 0, then
-1, and so on; once radius r is done for all segments and r + 1 for the first a,
-every code within m*r + m - 1 + a bits (m segments) has been met and verified.
-A query is finished when its kth verified distance is within that bound, so the
-result is exact, ties included. Queries and codes are cut into blocks, each pair
-of blocks is one task, and the best k of a query's blocks are its result.
+A vector's code is the signs of its components. Codes are cut into m segments of
+about log2(n) bits, and every segment has a table: one row for each code, parted
+and sorted by the segment's value. In round r the open queries look up, in all
+tables, the values that differ from their own in exactly r bits; what they meet
+is verified on whole codes. After round r every code within m * (r + 1) - 1 bits
+has been met, so a query whose last verified distance is within that bound is
+finished, exactly and with all ties. Only open queries are sent on: the tables
+stay where they are, and the shuffle is that of the values looked up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 K = 10
-BLOCK = 65_536
-CELLS = 24
+EVERY = 100
+PER_VALUE = 100_000
+AT_ONCE = 200_000
 U = np.uint64
 
 
@@ -32,7 +38,7 @@ def masks(bits: int, radius: int) -> np.ndarray:
 
 
 def bits_of(codes: np.ndarray, start: int, size: int) -> np.ndarray:
-    """``size`` bits (32 at most) from ``start`` of each code, a row of 64-bit words."""
+    """``size`` bits (62 at most) from ``start`` of each code, a row of 64-bit words."""
     w, s = divmod(start, 64)
     got = codes[:, w] >> U(s)
     if s + size > 64:
@@ -40,52 +46,20 @@ def bits_of(codes: np.ndarray, start: int, size: int) -> np.ndarray:
     return (got & U((1 << size) - 1)).astype(np.int64)
 
 
-def nearest(queries: np.ndarray, q_ids: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int, width: int, at_once: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, code row, distance) of the k nearest codes of each query, by (distance, id), the query's own id left out."""
-    size = int(np.clip(np.log2(max(len(codes), 2)), 4, 16))
-    starts = list(range(0, width, size))
-    sizes = [min(size, width - s) for s in starts]
-    by_id = np.argsort(ids, kind="stable")
-    codes, ids = codes[by_id], ids[by_id]
-    tables = []
-    for s, n in zip(starts, sizes):
-        seg = bits_of(codes, s, n)
-        order = np.argsort(seg, kind="stable")
-        tables.append((order, np.searchsorted(seg[order], np.arange((1 << n) + 1))))
-    out = []
-    for begin in range(0, len(queries), at_once):
-        rows = np.arange(begin, min(begin + at_once, len(queries)))
-        segs = [bits_of(queries[rows], s, n) for s, n in zip(starts, sizes)]
-        live = np.arange(len(rows))
-        q, c, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        worst = np.full(len(rows), width + 1)
-        for step in range((size + 1) * len(starts)):
-            radius, a = divmod(step, len(starts))
-            if radius <= sizes[a] and len(live):
-                order, first = tables[a]
-                at = (segs[a][live][:, None] ^ masks(sizes[a], radius)).ravel()
-                n = first[at + 1] - first[at]
-                ask = np.repeat(np.repeat(live, len(at) // len(live)), n)
-                met = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)]
-                far = np.bitwise_count(queries[rows[ask]] ^ codes[met]).sum(axis=1, dtype=np.int64)
-                use = np.flatnonzero((far <= worst[ask]) & (ids[met] != q_ids[rows[ask]]))
-                q, c, d = np.r_[q, ask[use]], np.r_[c, met[use]], np.r_[d, far[use]]
-                key = np.unique((q * (width + 1) + d) * len(codes) + c)
-                q, c = key // len(codes), key % len(codes)
-                q, d = q // (width + 1), q % (width + 1)
-                head = np.searchsorted(q, q)
-                best = np.arange(len(q)) - head < k
-                q, c, d = q[best], c[best], d[best]
-                many = np.bincount(q, minlength=len(rows))
-                full = many == k
-                worst[full] = d[(np.cumsum(many) - 1)[full]]
-            live = live[worst[live] > step]
-            if not len(live):
-                break
-        out.append((rows[q], by_id[c], d))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out))
+def bits_column(code: Column, start: int, size: int) -> Column:
+    """The same bits as a column."""
+    w, s = divmod(start, 64)
+    got = F.shiftrightunsigned(F.get(code, F.lit(w)), s)
+    if s + size > 64:
+        got = got.bitwiseOR(F.shiftleft(F.get(code, F.lit(w + 1)), 64 - s))
+    return got.bitwiseAND(F.lit((1 << size) - 1))
+
+
+def segments(width: int, n: int, bits: int | None = None) -> list[tuple[int, int]]:
+    """(start, size) of the segments of ``width`` bits for ``n`` codes: about log2(n) bits each, so that a value has about one code."""
+    many = max(1, -(-width // min(62, max(4, bits or round(np.log2(max(n, 2)))))))
+    ends = [width * (i + 1) // many for i in range(many)]
+    return [(a, b - a) for a, b in zip([0, *ends], ends)]
 
 
 def codes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
@@ -93,52 +67,109 @@ def codes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     width = vectors.agg(F.max(F.size(vector_col))).first()[0] or 0
     words = common.pieces(width, 64)
 
-    @F.pandas_udf("array<long>")
-    def code(s: pd.Series) -> pd.Series:
-        bits = np.zeros((len(s), words * 64), np.uint8)
-        for i, v in enumerate(s):
-            bits[i, : len(v)] = np.asarray([x if x is not None else 0.0 for x in v], dtype=np.float64) > 0
-        return pd.Series(list(np.packbits(bits, axis=1, bitorder="little").view(np.int64)))
-
-    rows = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
-    return rows.select(F.col(id_col).alias("id"), code(F.col(vector_col)).alias("code")).groupBy("id").agg(F.min("code").alias("code")), max(width, 1)
-
-
-def top_k(vectors: DataFrame, k: int = K, block: int = BLOCK, cells: int = CELLS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest other codes of every vector.
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, v = batch.columns
+            size = v.value_lengths().to_numpy(zero_copy_only=False)
+            one = pc.fill_null(pc.greater(v.flatten(), 0), False).to_numpy(zero_copy_only=False)
+            bits = np.zeros((len(v), words * 64), np.uint8)
+            bits[np.repeat(np.arange(len(v)), size), np.arange(len(one)) - np.repeat(np.cumsum(size) - size, size)] = one
+            flat = np.packbits(bits, axis=1, bitorder="little").reshape(-1).view(np.int64)
+            made = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * words, pa.array(flat))
+            yield pa.RecordBatch.from_arrays([ids, made], names=["id", "code"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    rows = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.mapInArrow(code, f"id {kind}, code array<long>").groupBy("id").agg(F.min("code").alias("code")), max(width, 1)
+
+
+def probes(open_: DataFrame, cuts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(code, worst, seg, val) of (code, worst): the values at exactly ``radius`` bits from those of the code, in all segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, worst = batch.columns
+            if not len(code):
+                continue
+            bits = code.flatten().to_numpy(zero_copy_only=False).view(U).reshape(len(code), -1)
+            for seg, (start, size) in enumerate(cuts):
+                if radius > size:
+                    continue
+                ball, own = masks(size, radius), bits_of(bits, start, size)
+                per = max(1, AT_ONCE // len(ball))
+                for a in range(0, len(own), per):
+                    val = (own[a : a + per, None] ^ ball).ravel()
+                    row = pa.array(np.repeat(np.arange(a, min(a + per, len(own))), len(ball)))
+                    yield pa.RecordBatch.from_arrays([code.take(row), worst.take(row), pa.array(np.full(len(val), seg, np.int32)), pa.array(val)], names=["code", "worst", "seg", "val"])
+
+    return open_.select("code", "worst").mapInArrow(run, "code array<long>, worst int, seg int, val long")
+
+
+def top_k(vectors: DataFrame, k: int = K, asks: Column | None = None, bits: int | None = None, per_value: int = PER_VALUE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): the k nearest other codes of every vector, or of those whose id meets ``asks``.
 
     A component's bit is one if it is above zero; nulls and NaN inside a vector
     count as zero bits, shorter vectors are filled up with them. Equal
     distances are ranked by id. With fewer than k other vectors all are given.
     Rows without a vector or an id are neither queries nor neighbours; of rows
-    with one id the smallest code counts, so repeated rows are one. Other
+    with one id the smallest code counts, so repeated rows are one. Of equal
+    codes only the k + 1 smallest ids can be in a result, so a code has a row
+    for any number of copies, and equal queries are one search. A segment value
+    with more than ``per_value`` codes is spread over several tasks. Other
     columns are not read. An empty table gives an empty result.
     """
-    codes, width = codes_of(vectors, id_col, vector_col)
-    codes = common.checkpoint(codes)
+    every, width = codes_of(vectors, id_col, vector_col)
+    every = common.checkpoint(every)
+    kind = every.schema["id"].dataType.simpleString()
+    near = Window.partitionBy("code").orderBy("id")
+    few = every.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
+    codes = common.checkpoint(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     n = codes.count()
-    down = common.pieces(n, block)
-    across = common.pieces(n, min(block, common.pieces(n, common.pieces(cells, down))))
-    lot = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
-    asks = codes.withColumn("a", lot(across, 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("ask", F.lit(True))
-    held = codes.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("b", lot(down, 2)).withColumn("ask", F.lit(False))
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask = pdf["ask"].to_numpy()
-        bits = np.stack(pdf["code"].to_list()).astype(np.int64).view(U)
-        ids = pdf["id"].to_numpy()
-        if ask.all() or not ask.any():
-            return pd.DataFrame({"vec_id": [], "neighbor_id": [], "distance": []}).astype("int64")
-        q, c, d = nearest(bits[ask], ids[ask], bits[~ask], ids[~ask], k, width)
-        return pd.DataFrame({"vec_id": ids[ask][q], "neighbor_id": ids[~ask][c], "distance": d})
-
-    found = asks.unionByName(held).groupBy("a", "b").applyInPandas(cell, "vec_id long, neighbor_id long, distance int")
-    w = Window.partitionBy("vec_id").orderBy("distance", "neighbor_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "distance")
+    cuts = segments(width, n, bits)
+    m = len(cuts)
+
+    values = F.array(*[bits_column(F.col("code"), a, b) for a, b in cuts])
+    table = codes.select(F.col("code").alias("other"), "ids", F.posexplode(values).alias("seg", "val"))
+    ways = F.ceil(F.col("c") / F.lit(per_value)).cast("int")
+    hot = common.checkpoint(table.groupBy("seg", "val").agg(F.count("*").alias("c")).where(F.col("c") > per_value).select("seg", "val", ways.alias("ways")))
+    some = hot.limit(1).count() > 0
+    table = table.join(hot, ["seg", "val"], "left").withColumn("part", F.pmod(F.xxhash64("other"), F.coalesce("ways", F.lit(1)))) if some else table.withColumn("part", F.lit(0).cast("long"))
+    parts = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), common.pieces(n * m, 4 * per_value))
+    keys = ["seg", "val", "part"]
+    table = common.checkpoint(table.select(*keys, "other", "ids").repartition(parts, *keys).sortWithinPartitions(*keys))
+
+    asked = every if asks is None else every.withColumnRenamed("id", id_col).where(asks).withColumnRenamed(id_col, "id")
+    open_ = common.checkpoint(asked.select("code").distinct().withColumn("worst", F.lit(width + 1)))
+    words = common.pieces(width, 64)
+    far = reduce(lambda a, b: a + b, [F.bit_count(F.get("code", F.lit(w)).bitwiseXOR(F.get("other", F.lit(w)))) for w in range(words)])
+    best = None
+    for radius in range(max(size for _, size in cuts) + 1):
+        ask = probes(open_, cuts, radius)
+        if some:
+            ask = ask.join(hot, ["seg", "val"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("ways", F.lit(1)).cast("long") - 1))).drop("ways")
+        else:
+            ask = ask.withColumn("part", F.lit(0).cast("long"))
+        # a code that other segments meet in an earlier round, or before in this one, has been verified there
+        apart = [F.bit_count(bits_column(F.col("code"), a, b).bitwiseXOR(bits_column(F.col("other"), a, b))) for a, b in cuts]
+        new = reduce(and_, [(x > radius) | ((x == radius) & (F.lit(i) >= F.col("seg"))) for i, x in enumerate(apart)])
+        met = ask.join(table, keys).where((far <= F.col("worst")) & new).select("code", far.cast("int").alias("distance"), F.explode("ids").alias("id"))
+        met = met if best is None else met.unionByName(best)
+        w = Window.partitionBy("code").orderBy("distance", "id")
+        best = common.checkpoint(met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).drop("r"))
+        covered = m * (radius + 1) - 1
+        told = best.groupBy("code").agg(F.count("*").alias("c"), F.max("distance").alias("d"))
+        full = F.col("c") == k + 1
+        open_ = common.checkpoint(told.where(~(full & (F.col("d") <= covered))).select("code", F.when(full, F.col("d")).otherwise(width + 1).cast("int").alias("worst")))
+        if not open_.limit(1).count():
+            break
+    found = asked.join(best.withColumnRenamed("id", "neighbor_id"), "code").where(F.col("id") != F.col("neighbor_id"))
+    w = Window.partitionBy("id").orderBy("distance", "neighbor_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("id").cast(kind).alias("vec_id"), "rank", "neighbor_id", "distance")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(common.table(spark, sf_dir, "embeddings"))
+    """Queries are the rows whose id is divisible by EVERY, searched against all rows."""
+    return top_k(common.table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % EVERY == 0)
 
 
 SQL = f"""
@@ -146,7 +177,7 @@ with c as (select vec_id, list_transform(embedding, lambda x: case when x > 0 th
 p as (
   select x.vec_id, y.vec_id as neighbor_id,
          cast(list_sum(list_transform(x.b, lambda v, i: abs(v - y.b[i]))) as integer) as distance
-  from c x join c y on x.vec_id <> y.vec_id)
+  from c x join c y on x.vec_id <> y.vec_id where x.vec_id % {EVERY} = 0)
 select vec_id, cast(row_number() over (partition by vec_id order by distance, neighbor_id) as integer) as rank, neighbor_id, distance
 from p qualify rank <= {K}
 """

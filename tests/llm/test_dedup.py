@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from echofold.llm import common, forest, linededup, search, simhash, suffix
 
@@ -185,19 +186,46 @@ def test_forest_recall(spark):
         assert all(want[i] == want[g] for i, g in got.items())
 
 
+def nearest(ids, codes, k, asked):
+    want = set()
+    for i in asked:
+        near = sorted((int((codes[i] != codes[j]).sum()), ids[j]) for j in range(len(ids)) if ids[j] != ids[i])[:k]
+        want |= {(ids[i], r + 1, j, d) for r, (d, j) in enumerate(near)}
+    return want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
-    for n, dim, k, kw in ((150, 20, 4, {}), (90, 70, 10, {"block": 25}), (5, 8, 10, {})):
+    for n, dim, k, kw in ((150, 20, 4, {}), (90, 70, 10, {"bits": 5}), (5, 8, 10, {}), (150, 20, 4, {"per_value": 6})):
         x = rng.normal(size=(n, dim)).astype(np.float32)
-        x[: n // 3] = x[0]
-        rows = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-        b = x > 0
-        want = set()
-        for i in range(n):
-            near = sorted((int((b[i] != b[j]).sum()), j * 3) for j in range(n) if j != i)[:k]
-            want |= {(i * 3, r + 1, j, d) for r, (d, j) in enumerate(near)}
-        got = {tuple(r) for r in search.top_k(rows, k, **kw).select("vec_id", "rank", "neighbor_id", "distance").collect()}
-        assert got == want
+        x[: n // 3] = x[0]  # a third of all codes are one
+        ids = [i * 3 for i in range(n)]
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+        got = [tuple(r) for r in search.top_k(rows, k, **kw).select("vec_id", "rank", "neighbor_id", "distance").collect()]
+        assert len(got) == len(set(got)) and set(got) == nearest(ids, x > 0, k, range(n))
+
+
+def test_top_k_of_some_queries(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(300, 64)).astype(np.float32)
+    x[200:] = x[:100] * np.where(rng.random((100, 64)) < 0.05, -1, 1)  # near codes
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for per_value in (search.PER_VALUE, 2):
+        got = {tuple(r) for r in search.top_k(rows, asks=F.col("vec_id") % 25 == 0, per_value=per_value).select("vec_id", "rank", "neighbor_id", "distance").collect()}
+        assert got == nearest(list(range(300)), x > 0, search.K, range(0, 300, 25))
+    named = rows.selectExpr("concat('v', vec_id) as vec_id", "embedding")
+    assert search.top_k(named, 2).where("vec_id = 'v7'").count() == 2
+
+
+def test_segments_cover_all_bits():
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 1 << 63, (50, 3)).astype(np.uint64)
+    for width, n, most in ((150, 10, None), (192, 1 << 30, None), (70, 5, 7), (1, 1, None)):
+        cuts = search.segments(width, n, most)
+        assert cuts[0][0] == 0 and sum(s for _, s in cuts) == width and all(a + s == b for (a, s), (b, _) in zip(cuts, cuts[1:]))
+        whole = [sum(int(w) << (64 * i) for i, w in enumerate(c)) & ((1 << width) - 1) for c in codes]
+        parts = [search.bits_of(codes, a, s).tolist() for a, s in cuts]
+        assert [sum(p[i] << a for p, (a, _) in zip(parts, cuts)) for i in range(50)] == whole
 
 
 def test_components_of_long_chains(spark):
@@ -205,3 +233,39 @@ def test_components_of_long_chains(spark):
     got = dict(common.components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {i: 0 for i in range(71)} | {100: 100, 200: 100, 300: 100}
     assert prose(random.Random(1), 3)
+
+
+BLANKS = [" ", " ", "\u0085", "\x1c", "\x1f", " ", "　", "\x0b", "\t", " \n"]
+
+
+def test_suffix_spans_of_odd_blanks(spark):
+    rng = random.Random(31)
+    one = prose(rng, 80).split()
+    texts = [prose(rng, 20)]
+    for blank in BLANKS:
+        own = prose(rng, 70).split()
+        texts += [blank.join(own), blank.join(own), blank.join(one), f"{prose(rng, 5)}{blank}{blank.join(one)}"]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    for per_part in (suffix.PER_PART, 30, 3):
+        got = sorted(map(tuple, suffix.spans(docs, per_part).collect()))
+        assert got == spans(texts, suffix.LEAST)
+    assert [r[0] for r in docs.orderBy("doc_id").select(common.words(docs["text"])).collect()] == [len(t.split()) for t in texts]
+
+
+def test_suffix_spans_of_a_hot_passage(spark):
+    rng = random.Random(32)
+    passage, edge = prose(rng, 50), prose(rng, 51)
+    texts = [f"{prose(rng, rng.randint(3, 40))} {passage} {prose(rng, 30)}" for _ in range(40)] + [f"{prose(rng, 4)} {edge}" for _ in range(20)] + [passage] * 9
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    for per_part in (suffix.PER_PART, 4):
+        assert sorted(map(tuple, suffix.spans(docs, per_part).collect())) == spans(texts, suffix.LEAST)
+
+
+def test_suffix_spans_of_repeated_rows_and_ids(spark):
+    rng = random.Random(33)
+    text, other = prose(rng, 60), prose(rng, 70)
+    docs = spark.createDataFrame([(1, text), (1, text), (2, f"x y {text}"), (None, text), (3, other), (3, f"{other} z"), (4, None), (5, "")], "doc_id long, text string")
+    got = {tuple(r) for r in suffix.spans(docs).collect()}
+    assert {x for x in got if x[0] != 3} == {(2, 2, 62)} and {x for x in got if x[0] == 3} == {(3, 0, 70)}
+    named = docs.selectExpr("cast(doc_id as string) as doc_id", "text")
+    assert {tuple(r) for r in suffix.spans(named).collect()} == {(str(a), b, c) for a, b, c in got}
