@@ -123,11 +123,14 @@ def _bins(numbers: np.ndarray) -> list[list[int]]:
 
 
 def cut(docs: DataFrame, length: Column, capacity: int, id_col: str) -> DataFrame:
-    """(doc_id, piece, start, n, full): pieces of at most ``capacity``; documents without length have none."""
+    """(row, doc_id, piece, start, n): pieces of at most ``capacity``; documents without length have none.
+
+    Rows are numbered, so that pieces of rows with one id, or with none, are told apart; checkpoint the result.
+    """
     n = F.coalesce(length, F.lit(0)).cast("long")
     last = F.floor((F.col("__n") - 1) / F.lit(capacity)).cast("long")
     return (
-        docs.select(F.col(id_col).cast("string").alias("doc_id"), n.alias("__n"))
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc_id"), n.alias("__n"))
         .where("__n > 0")
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .withColumn("start", F.col("piece") * capacity)
@@ -149,20 +152,23 @@ def pack(
     text_col: str = "text",
     seed: int = 11,
 ) -> DataFrame:
-    """(doc_id, piece, start, n, bin, offset): where each piece of each document goes.
+    """(row, doc_id, piece, start, n, bin, offset): where each piece of each document goes.
 
     ``length`` is a column of ``docs``, words by default. Piece p covers the
     units from ``start``, ``n`` of them; ``bin`` is the sequence and ``offset``
     its place there. Null and blank texts have no pieces. Rows without an id
-    and repeated rows are packed as documents of their own. Other columns are
-    not read. An empty table gives an empty result.
+    and repeated rows are packed as documents of their own: ``row`` numbers the
+    rows by their place in the input, so the same files give the same packing.
+    Other columns are not read. An empty table gives an empty result.
     """
     made = common.checkpoint(cut(docs, common.words(F.col(text_col)) if length is None else length, capacity, id_col))
     full = made.where(F.col("n") == capacity)
     rest = made.where(F.col("n") < capacity)
     parts = common.pieces(rest.count(), per_part)
-    state = "part int, island int, doc_id string, piece long, start long, n long, brood array<int>"
-    cols = ["doc_id", "piece", "start", "n"]
+    cols = ["row", "doc_id", "piece", "start", "n"]
+    types = "row long, doc_id string, piece long, start long, n long"
+    state = f"part int, island int, {types}, brood array<int>"
+    order = ["doc_id", "row", "piece"]
 
     def rng_of(part: int, island: int, era: int):
         return np.random.default_rng([seed, part, island, era])
@@ -172,14 +178,14 @@ def pack(
         return pdf[cols].assign(part=key[0], island=key[1], brood=list(numbers))[["part", "island", *cols, "brood"]]
 
     def begin(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cols).reset_index(drop=True)
+        pdf = pdf.sort_values(order).reset_index(drop=True)
         sizes, rng = pdf["n"].to_numpy(), rng_of(int(key[0]), int(key[1]), 0)
         return rows(key, pdf, evolve(first_brood(sizes, capacity, rng, brood), sizes, capacity, rng, turns))
 
     def go_on(era: int):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             # a part's pieces come twice, from the island itself and, as one elite, from its neighbour
-            pdf = pdf.sort_values(cols, kind="stable")
+            pdf = pdf.sort_values(order, kind="stable")
             own = pdf[~pdf["guest"]].reset_index(drop=True)
             guest = pdf[pdf["guest"]]
             sizes, rng = own["n"].to_numpy(), rng_of(int(key[0]), int(key[1]), era)
@@ -192,7 +198,7 @@ def pack(
 
     def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = None
-        for _, own in pdf.sort_values(["island", *cols], kind="stable").groupby("island", sort=True):
+        for _, own in pdf.sort_values(["island", *order], kind="stable").groupby("island", sort=True):
             sizes, numbers = own["n"].to_numpy(), np.stack(own["brood"].to_list())[:, 0]
             bins = _bins(numbers)
             value = (-len(bins), fitness(sizes, bins, capacity))
@@ -200,10 +206,10 @@ def pack(
                 found = value, own.reset_index(drop=True), numbers
         _, own, numbers = found
         own = own[cols].assign(part=key[0], bin=numbers)
-        own = own.sort_values(["bin", "n", "doc_id", "piece"], ascending=[True, False, True, True])
+        own = own.sort_values(["bin", "n", *order], ascending=[True, False, True, True, True])
         return own.assign(offset=own.groupby("bin")["n"].cumsum() - own["n"])[["part", *cols, "bin", "offset"]]
 
-    spread = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
+    spread = rest.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(parts)).cast("int")).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
     now = spread.groupBy("part", "island").applyInPandas(begin, state)
     for era in range(1, eras):
         now = common.checkpoint(now)
@@ -212,17 +218,17 @@ def pack(
         if islands > 1:
             both = both.unionByName(guests.withColumn("guest", F.lit(True)))
         now = both.groupBy("part", "island").applyInPandas(go_on(era), state)
-    chosen = now.groupBy("part").applyInPandas(best, "part int, doc_id string, piece long, start long, n long, bin int, offset long")
+    chosen = now.groupBy("part").applyInPandas(best, f"part int, {types}, bin int, offset long")
     name = lambda *c: F.concat_ws("-", *c)
     ids = docs.schema[id_col].dataType
     out = chosen.select(*cols, name(F.lit("p"), "part", "bin").alias("bin"), "offset").unionByName(
-        full.select(*cols, name(F.lit("d"), "doc_id", "piece").alias("bin"), F.lit(0).cast("long").alias("offset"))
+        full.select(*cols, name(F.lit("d"), "row", "piece").alias("bin"), F.lit(0).cast("long").alias("offset"))
     )
     return out.withColumn("doc_id", F.col("doc_id").cast(ids))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packing of the documents, with the source of each."""
+    """The packing of the documents."""
     return pack(docs)
 
 

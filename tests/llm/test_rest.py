@@ -46,6 +46,64 @@ def test_packing(spark, texts, kw):
     assert n <= 1.15 * least + 4
 
 
+def test_packing_of_odd_rows(odd):
+    """Every row with words is packed whole, rows that share an id or have none as well, and no bin is overfull."""
+    for kw in ({}, {"per_part": 3, "islands": 3, "eras": 3}):
+        rows = packing.pack(odd, capacity=2048, **kw).collect()
+        lengths = Counter((r["doc_id"], len((r["text"] or "").split())) for r in odd.select("doc_id", "text").collect())
+        told = defaultdict(int)
+        for r in rows:
+            told[r["row"], r["doc_id"]] += r["n"]
+        assert Counter((i, n) for (_, i), n in told.items()) == Counter({k: c for k, c in lengths.items() if k[1]})
+        named = [dict(r.asDict(), doc_id=r["row"]) for r in rows]
+        check_packing(named, {row: n for (row, _), n in told.items()}, 2048)
+
+
+def test_packing_beats_best_fit_decreasing(spark):
+    """Lengths on which best fit, largest first, opens a bin more than the genetic algorithm needs, and none fewer can hold them."""
+    sizes = [33, 46, 11, 44, 45, 61, 19, 28, 10, 3, 5, 29, 13, 46, 14, 39, 34, 22, 29, 61]
+    docs = spark.createDataFrame(rows_of([" ".join(["w"] * n) for n in sizes]), SCHEMA)
+    plain: list = []
+    packing.best_fit(np.array(sizes), np.arange(len(sizes)), plain, 100)
+    n = check_packing(packing.pack(docs, capacity=100, eras=4, turns=40).collect(), dict(enumerate(sizes)), 100)
+    assert n == -(-sum(sizes) // 100) == len(plain) - 1
+
+
+def fewest(sizes, capacity):
+    """Bins of an optimal packing, by trying every bin for every piece."""
+    best = [len(sizes)]
+
+    def go(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(room)
+            return
+        for k in range(len(room)):
+            if room[k] >= sizes[i] and room[k] not in room[:k]:
+                go(i + 1, [*room[:k], room[k] - sizes[i], *room[k + 1 :]])
+        go(i + 1, [*room, capacity - sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_against_all_packings():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        sizes = np.sort(rng.integers(8, 70, 9))[::-1].copy()
+        out = packing.evolve(packing.first_brood(sizes, 100, rng, packing.BROOD), sizes, 100, rng, 20)[0]
+        assert len(out) == fewest(sizes.tolist(), 100)
+
+
+def test_elites_migrate(spark):
+    """After an era an island holds its neighbour's elite, so the result is never worse than the best island's."""
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame(rows_of([" ".join(["w"] * int(n)) for n in rng.integers(20, 60, 60)]), SCHEMA)
+    bins = [packing.pack(docs, capacity=100, islands=3, eras=e, turns=4).select("bin").distinct().count() for e in (1, 3)]
+    assert bins[1] <= bins[0]
+
+
 def test_genetic_steps_keep_all_pieces():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 99, 300)
