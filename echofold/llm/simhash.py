@@ -4,10 +4,11 @@ A text's fingerprint has 128 bits: the signs of the weighted sum, over its
 distinct words and word pairs, of the bits of their hashes. A word weighs its
 length beyond three characters (nine at most), which spares the short words
 that every text has, and a pair of neighbours weighs one. Distinct fingerprints
-are found within ``RADIUS`` bits by multi-index hashing: with eight segments of
-16 bits, two fingerprints within 23 bits agree in some segment up to two bits,
-so all segment values within that small ball are looked up in a table of the
-segment, and complete distances are verified.
+are found within ``RADIUS`` bits by multi-index hashing: of m segments, two
+fingerprints within r bits agree in some segment up to r/m bits, so all segment
+values within that small ball are looked up in a table of the segment, and
+complete distances are verified. With more fingerprints segments are fewer and
+longer: eight of 16 bits up to some hundreds of thousands, then six, five, four.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 import sys
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .search import bits_column, bits_of
 
 RADIUS = 23
 SEGMENTS = 8
@@ -38,10 +41,6 @@ class _Hashes(dict):
         return x
 
 
-def _weights(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=-1)
-
-
 def fingerprints(texts: list[str], hashes: dict | None = None) -> np.ndarray:
     """(n, 2) uint64 of the lower and upper half; a text without features has 0, 0."""
     hashes = _Hashes() if hashes is None else hashes
@@ -105,25 +104,39 @@ def segment(low: np.ndarray, up: np.ndarray, k: int) -> np.ndarray:
     return ((low if k < per else up) >> U(SEG_BITS * (k % per)) & U((1 << SEG_BITS) - 1)).astype(np.int64)
 
 
-def matches(low: np.ndarray, up: np.ndarray, seg: np.ndarray, own: np.ndarray, per_segment: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def segments(n: int, radius: int) -> list[tuple[int, int]]:
+    """(start, size) of the segments of 128 bits for which lookups and candidates of ``n`` fingerprints are fewest."""
+
+    def cuts(many: int) -> list[tuple[int, int]]:
+        ends = [128 * (i + 1) // many for i in range(many)]
+        return [(a, b - a) for a, b in zip([0, *ends], ends)]
+
+    def cost(many: int) -> float:
+        return sum(sum(comb(size, r) for r in range(radius // many + 1)) * (1 + n / 2**size) for _, size in cuts(many))
+
+    return cuts(min((SEGMENTS, 6, 5, 4), key=cost))
+
+
+def matches(low: np.ndarray, up: np.ndarray, seg: np.ndarray, own: np.ndarray, per_segment: int, radius: int, size: int = SEG_BITS, earlier: list[tuple[int, int]] | None = None):
     """Edges that join all of these fingerprints within ``radius`` that share a ball; ``own`` marks those that probe.
 
     Each pair is looked up from the larger segment value; the edges are those
     of stars around the smallest member, one for each joined row, not all pairs.
+    With ``earlier`` segments given, a third array counts each row's pairs that
+    none of those segments meets.
     """
     order = np.argsort(seg, kind="stable")
     low, up, seg, own = low[order], up[order], seg[order], own[order]
-    starts = np.searchsorted(seg, np.arange((1 << SEG_BITS) + 1))
-    forest = common.Forest(len(seg))
+    forest, count = common.Forest(len(seg)), np.zeros(len(seg), np.int64)
     probe = np.flatnonzero(own)
-    for mask in ball(SEG_BITS, per_segment):
+    for mask in ball(size, per_segment):
         other = seg[probe] ^ mask
         ask = probe if mask == 0 else probe[other < seg[probe]]
         other = seg[ask] ^ mask
-        begin, many = starts[other], starts[other + 1] - starts[other]
-        if mask == 0:
-            many = np.maximum(0, ask - begin)
-        found_a, found_b = [], []
+        begin = np.searchsorted(seg, other, "left")
+        many = np.searchsorted(seg, other, "right") - begin if mask else np.maximum(0, ask - begin)
+        use = many > 0
+        ask, begin, many = ask[use], begin[use], many[use]
         ends = np.cumsum(many)
         cut = 0
         while cut < len(ask):
@@ -136,46 +149,61 @@ def matches(low: np.ndarray, up: np.ndarray, seg: np.ndarray, own: np.ndarray, p
             near = np.flatnonzero(d <= radius)
             a, b, d = a[near], b[near], d[near]
             near = d + np.bitwise_count(up[a] ^ up[b]) <= radius
-            found_a.append(a[near])
-            found_b.append(b[near])
+            a, b = a[near], b[near]
+            forest.join(a, b)
+            if earlier is not None:
+                apart = np.stack([low[a] ^ low[b], up[a] ^ up[b]], axis=1)
+                new = np.ones(len(a), bool)
+                for start, bits in earlier:
+                    new &= np.bitwise_count(bits_of(apart, start, bits)) > per_segment
+                count += np.bincount(a[new], minlength=len(seg)) + np.bincount(b[new], minlength=len(seg))
             cut = to
-        if found_a:
-            forest.join(np.concatenate(found_a), np.concatenate(found_b))
     root = forest.roots(np.arange(len(seg)))
     member = np.flatnonzero(root != np.arange(len(seg)))
-    return order[member], order[root[member]]
+    if earlier is None:
+        return order[member], order[root[member]]
+    back = np.zeros_like(count)
+    back[order] = count
+    return order[member], order[root[member]], back
 
 
-def _split(n: int, per_task: int, per_segment: int) -> int:
+def _split(n: int, per_task: int, per_segment: int, size: int) -> int:
     """Leading bits of a segment by which its table is parted, so that no part has many more rows than ``per_task``."""
     bits = 0
-    while bits < SEG_BITS - 2 and n * len(ball(bits, per_segment)) >> bits > per_task:
+    while bits < size - 2 and n * len(ball(bits, per_segment)) >> bits > per_task:
         bits += 1
     return bits
 
 
-def links(prints: DataFrame, radius: int = RADIUS, per_task: int = 400_000) -> DataFrame:
-    """Edges (u, v) of ids between distinct fingerprints (id, low, up) that join all within ``radius``."""
-    per_segment = radius // SEGMENTS
-    bits = _split(prints.count(), per_task, per_segment)
-    masks = [int(m) << (SEG_BITS - bits) for m in ball(bits, per_segment)]
-    per = 64 // SEG_BITS
-    seg = [F.shiftrightunsigned("low" if k < per else "up", SEG_BITS * (k % per)).bitwiseAND((1 << SEG_BITS) - 1) for k in range(SEGMENTS)]
-    rows = prints.select("id", "low", "up", F.posexplode(F.array(*seg)).alias("k", "s"))
-    if bits:
-        part = F.shiftright(F.col("s").bitwiseXOR(F.col("m")), SEG_BITS - bits)
-        rows = rows.withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("part", part)
-    else:
-        rows = rows.withColumn("m", F.lit(0).cast("long")).withColumn("part", F.lit(0).cast("long"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Copies sent by a mask probe the rows that live here; a row that lives here is in the table and probes too.
+def links(prints: DataFrame, radius: int = RADIUS, per_task: int = 400_000, many: int | None = None) -> DataFrame:
+    """(u, v, n) of ids of distinct fingerprints (id, low, up): edges that join all within ``radius``, and, where v is null, n of the links of u.
+
+    A fingerprint lives in the part of its segment's leading bits and is sent
+    to the parts whose bits are near; only those that live in a part probe, so
+    that a segment meets each pair once, and the first segment that meets it counts it.
+    """
+    n = prints.count()
+    cuts = segments(many or n, radius)
+    per_segment = radius // len(cuts)
+    code = F.array("low", "up")
+    size = F.array(*[F.lit(b) for _, b in cuts])
+    rows = prints.select("id", "low", "up", F.posexplode(F.array(*[bits_column(code, a, b) for a, b in cuts])).alias("k", "s"))
+    bits = _split(n, per_task, per_segment, min(b for _, b in cuts))
+    lead = F.expr("shiftright(s, __size)") if bits else F.lit(0).cast("long")
+    rows = rows.withColumn("__size", F.get(size, F.col("k")) - bits).withColumn("home", lead)
+    near = F.array(*[F.lit(int(m)).cast("long") for m in ball(bits, per_segment)])
+    rows = rows.withColumn("m", F.explode(near)).withColumn("part", F.col("home").bitwiseXOR(F.col("m")))
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        a, b = matches(pdf["low"].to_numpy().view(U), pdf["up"].to_numpy().view(U), pdf["s"].to_numpy(), np.ones(len(pdf), bool), per_segment, radius)
-        return pd.DataFrame({"u": ids[a], "v": ids[b]})
+        ids, k = pdf["id"].to_numpy(), int(key[0])
+        a, b, count = matches(pdf["low"].to_numpy().view(U), pdf["up"].to_numpy().view(U), pdf["s"].to_numpy(), pdf["own"].to_numpy(), per_segment, radius, cuts[k][1], cuts[:k])
+        some = np.flatnonzero(count)
+        edges = pd.DataFrame({"u": ids[a], "v": ids[b], "n": 0}).astype({"v": "Int64"})
+        return pd.concat([edges, pd.DataFrame({"u": ids[some], "v": pd.array([None] * len(some), "Int64"), "n": count[some]})])
 
-    return rows.select("id", "low", "up", "s", "k", "part").groupBy("k", "part").applyInPandas(work, "u long, v long")
+    told = rows.select("id", "low", "up", "s", "k", "part", (F.col("m") == 0).alias("own"))
+    return told.groupBy("k", "part").applyInPandas(work, "u long, v long, n long")
 
 
 def prints_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -191,28 +219,32 @@ def prints_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), made(F.coalesce(F.col(text_col), F.lit(""))).alias("f")).select("doc_id", "f.low", "f.up")
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, per_task: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, low, up, group_id, keep): the near-dup group of every row.
+def groups(docs: DataFrame, radius: int = RADIUS, per_task: int = 400_000, id_col: str = "doc_id", text_col: str = "text", many: int | None = None) -> DataFrame:
+    """(doc_id, group_id, links, keep): the near-dup group of every row.
 
     Documents are in one group if a chain of fingerprints within ``radius``
     bits joins them; ``group_id`` is the smallest doc_id of the group, and that
-    document, or one of its repeated rows, is the one to ``keep``. Texts that
-    are null, blank, or of one word of up to three characters have no features:
-    their fingerprint is null, they are groups of their own and kept. So are
+    document, or one of its repeated rows, is the one to ``keep``. ``links`` is
+    the number of other fingerprints within the radius; copies share theirs.
+    Texts that are null, blank, or of one word of up to three characters have no
+    features: they are groups of their own, kept and without links. So are
     rows without an id. Texts are taken whole, whatever their length. Only the
-    two columns named are read. An empty table gives an empty result.
+    two columns named are read. ``many`` sets for how many fingerprints segments
+    are cut, by default as many as there are. An empty table gives an empty result.
     """
     made = common.checkpoint(prints_of(docs, id_col, text_col))
-    real = (F.col("low") != 0) | (F.col("up") != 0)
-    told = made.where(real & F.col("doc_id").isNotNull())
-    reps = told.groupBy("low", "up").agg(F.min("doc_id").alias("id"))
-    tree = common.components(links(common.checkpoint(reps), radius, per_task))
-    named = told.join(reps, ["low", "up"]).join(tree, F.col("id") == F.col("node"), "left").select("doc_id", "low", "up", F.coalesce("root", "id").alias("group_id"))
-    first = Window.partitionBy("group_id").orderBy("doc_id", "low", "up")
-    told = named.withColumn("keep", F.row_number().over(first) == 1)
-    null = F.lit(None).cast("long")
-    half = lambda c: F.when(real, F.col(c)).otherwise(null)
-    rest = made.where(~(real & F.col("doc_id").isNotNull())).select("doc_id", half("low").alias("low"), half("up").alias("up"), F.col("doc_id").alias("group_id"), F.lit(True).alias("keep"))
+    real = ((F.col("low") != 0) | (F.col("up") != 0)) & F.col("doc_id").isNotNull()
+    reps = common.checkpoint(made.where(real).groupBy("low", "up").agg(F.min("doc_id").alias("id")))
+    found = common.checkpoint(links(reps, radius, per_task, many))
+    tree = common.components(found.where("v is not null").select("u", "v"))
+    count = found.where("v is null").groupBy("u").agg(F.sum("n").alias("links"))
+    named = reps.join(tree, F.col("id") == F.col("node"), "left").join(count, F.col("id") == F.col("u"), "left").select(F.col("low").alias("l"), F.col("up").alias("p"), F.coalesce("root", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    told = made.where(real).join(named, (F.col("low") == F.col("l")) & (F.col("up") == F.col("p"))).select("doc_id", "low", "up", "group_id", "links")
+    # the least id is the one to keep; only repeated ids need a place among themselves
+    first = Window.partitionBy("doc_id").orderBy("low", "up")
+    one = F.when(F.col("doc_id") == F.col("group_id"), F.row_number().over(first) == 1).otherwise(F.lit(False))
+    told = told.select("doc_id", "group_id", "links", one.alias("keep"))
+    rest = made.where(~real).select("doc_id", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("keep"))
     return told.unionByName(rest)
 
 
@@ -247,17 +279,17 @@ p as (
     cast(list_sum(list_transform(sl, lambda x, i: case when 2 * x > total then cast(1 as hugeint) << (i - 1) else cast(0 as hugeint) end)) as ubigint) as lo,
     cast(list_sum(list_transform(su, lambda x, i: case when 2 * x > total then cast(1 as hugeint) << (i - 1) else cast(0 as hugeint) end)) as ubigint) as up
   from s),
+fp as (select distinct lo, up from p),
+link as (
+  select x.lo, x.up, count(*) as links from fp x join fp y on (x.lo <> y.lo or x.up <> y.up)
+   and bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.up, y.up)) <= {radius} group by x.lo, x.up),
 edge as (
   select x.doc_id as u, y.doc_id as v from p x join p y on x.doc_id <> y.doc_id
    and bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.up, y.up)) <= {radius}),
 reach(u, v) as (
   select doc_id, doc_id from p union select r.u, e.v from reach r join edge e on e.u = r.v),
-g as (select u as doc_id, min(v) as group_id from reach group by u),
-signed as (
-  select doc_id,
-    cast(case when lo >= 9223372036854775808 then cast(lo as hugeint) - 18446744073709551616 else cast(lo as hugeint) end as bigint) as low,
-    cast(case when up >= 9223372036854775808 then cast(up as hugeint) - 18446744073709551616 else cast(up as hugeint) end as bigint) as up from p)
-select d.doc_id, s.low, s.up, coalesce(g.group_id, d.doc_id) as group_id,
+g as (select u as doc_id, min(v) as group_id from reach group by u)
+select d.doc_id, coalesce(g.group_id, d.doc_id) as group_id, coalesce(link.links, 0) as links,
        coalesce(g.group_id, d.doc_id) = d.doc_id as keep
-from documents d left join signed s using (doc_id) left join g using (doc_id)
+from documents d left join p using (doc_id) left join link on link.lo = p.lo and link.up = p.up left join g using (doc_id)
 """

@@ -40,6 +40,10 @@ def test_simhash_groups(spark, texts):
         got = {r["doc_id"]: (r["group_id"], r["keep"]) for r in simhash.groups(docs, radius, per_task).collect()}
         assert {i: g for i, (g, _) in got.items()} == dict(enumerate(want))
         assert all(keep == (g == i) for i, (g, keep) in got.items())
+        kinds = np.unique(f[f.any(axis=1)], axis=0)
+        near = np.bitwise_count(f[:, None, :] ^ kinds[None, :, :]).sum(axis=2) <= radius
+        links = {r["doc_id"]: r["links"] for r in simhash.groups(docs, radius, many=10**7).collect()} if per_task > 20 else None
+        assert links is None or links == {i: int(near[i].sum()) - 1 for i in range(len(texts))}
     stage = {r[0] for r in simhash.stage(spark, docs, "").select("doc_id").collect()}
     assert stage == set(closed(len(texts), lambda i, j: bits(f[i], f[j]) <= simhash.RADIUS))
 
@@ -61,6 +65,28 @@ def test_simhash_search_is_exact():
     assert tree.roots(np.arange(len(every))).tolist() == want
 
 
+def test_simhash_segments_follow_the_number():
+    assert [len(simhash.segments(n, 23)) for n in (10, 10**5, 10**7, 10**8, 10**11)] == [8, 8, 6, 5, 4]
+    for n in (10, 10**7, 10**8, 10**11):
+        cuts = simhash.segments(n, 23)
+        assert cuts[0][0] == 0 and sum(b for _, b in cuts) == 128 and (23 // len(cuts) + 1) * len(cuts) > 23
+
+
+def test_simhash_counts_every_link_once():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (60, 2)).astype(np.uint64)
+    rows = np.repeat(base, 6, axis=0)
+    for row in rows:
+        for b in rng.integers(0, 128, rng.integers(0, 14)):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    rows = np.unique(rows, axis=0)
+    want = (np.bitwise_count(rows[:, None, :] ^ rows[None, :, :]).sum(axis=2) <= 23).sum(axis=1) - 1
+    for n in (10, 10**7):
+        cuts = simhash.segments(n, 23)
+        got = sum(simhash.matches(rows[:, 0], rows[:, 1], simhash.bits_of(rows, a, b), np.ones(len(rows), bool), 23 // len(cuts), 23, b, cuts[:k])[2] for k, (a, b) in enumerate(cuts))
+        assert got.tolist() == want.tolist() and want.sum() > 100
+
+
 def test_perfect_hash_is_minimal_and_exact():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 63, 5000):
