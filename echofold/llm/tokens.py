@@ -5,7 +5,9 @@ segmentation under a unigram model over a public vocabulary follows from the
 best segmentations of its prefixes. All distinct pre-tokens of a task go into a
 trie, in which every prefix is one node; nodes are scored level by level, each
 once, from their ancestors, and the counts at the words' ends are kept for the
-rest of the task. Documents then add up their words' counts. There is no shuffle.
+rest of the task. Levels that many words reach are arrays; below them the trie's
+few branches are walked node by node. Documents then add up their words' counts.
+There is no shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ MODEL = os.environ.get("ECHOFOLD_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-LONG = 64
+SPARSE = 16
 
 
 class Vocabulary:
@@ -55,7 +57,7 @@ class Vocabulary:
             self.by_length[n] = h, np.array([self.scores[p] for p in mine])[order]
 
     def alone(self, word: str) -> int:
-        """Tokens of one word, by itself; used for very long words, with the same result."""
+        """Tokens of one word, by itself, for comparison."""
         w = MARK + word
         best = [(0.0, 0)]
         for i in range(1, len(w) + 1):
@@ -84,18 +86,14 @@ def _hash_rows(codes: np.ndarray) -> np.ndarray:
 
 def counts(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
     """Tokens of each of these distinct words."""
-    out = np.zeros(len(words), np.int64)
-    short = [i for i, w in enumerate(words) if len(w) < LONG]
-    for i, w in enumerate(words):
-        if len(w) >= LONG:
-            out[i] = vocabulary.alone(w)
-    if short:
-        out[short] = _trie([MARK + words[i] for i in short], vocabulary)
-    return out
+    return _trie([MARK + w for w in words], vocabulary) if words else np.zeros(0, np.int64)
 
 
 def _trie(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
-    """Level by level: all prefixes of one length are one array; a node knows its parent and its last character."""
+    """Level by level: all prefixes of one length are one array; a node knows its parent and its last character.
+
+    Where no more than SPARSE words go on, their branches are followed in ``_branches``.
+    """
     sizes = np.array([len(w) for w in words])
     order = np.argsort(-sizes, kind="stable")
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -109,6 +107,8 @@ def _trie(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
     ends = np.zeros(len(words), np.int64)
     for depth in range(1, int(sizes[0]) + 1):
         live = int(np.searchsorted(-sizes, -depth, "right"))
+        if live <= SPARSE:
+            break
         code = flat[starts[:live] + depth - 1]
         key = node[:live] << 21 | code
         seen, first, node = np.unique(key, return_index=True, return_inverse=True)
@@ -147,11 +147,60 @@ def _trie(words: list[str], vocabulary: Vocabulary) -> np.ndarray:
         ends[over] = tokens[node[over]]
         if depth > vocabulary.longest:
             levels[depth - vocabulary.longest - 1] = None
+    depth = len(levels) - 1
+    below: dict[int, list[int]] = {}
+    for i in range(int(np.searchsorted(-sizes, -depth, "left"))):
+        below.setdefault(int(node[i]), []).append(i)
+    for at, mine in below.items():
+        before = []
+        for up in range(depth, max(-1, depth - vocabulary.longest), -1):
+            _, score, tokens, parent = levels[up]
+            before.append((float(score[at]), int(tokens[at])))
+            at = int(parent[at])
+        for i, n in _branches({i: words[order[i]] for i in mine}, depth, before[::-1], vocabulary):
+            ends[i] = n
     out = np.zeros(len(words), np.int64)
     out[order] = ends
     return out
 
 
+def _branches(words: dict[int, str], depth: int, before: list[tuple[float, int]], vocabulary: Vocabulary) -> Iterator[tuple[int, int]]:
+    """(word, tokens) of words that share the node at ``depth``; ``before`` has (score, tokens) of it and its ancestors, nearest last."""
+    pieces, longest = vocabulary.scores, vocabulary.longest
+    todo = [(list(words), depth, before)]
+    while todo:
+        mine, at, best = todo.pop()
+        while mine:
+            kids: dict[str, list[int]] = {}
+            for i in mine:
+                if len(words[i]) == at:
+                    yield i, best[-1][1]
+                else:
+                    kids.setdefault(words[i][at], []).append(i)
+            mine = []
+            at += 1
+            for char, group in kids.items():
+                w = words[group[0]]
+                if char in pieces:
+                    top = None
+                else:
+                    spelt = len(char.encode("utf-8", "replace"))
+                    top = (best[-1][0] + vocabulary.unknown * spelt, best[-1][1] + spelt)
+                for n in range(1, min(at, longest, len(best)) + 1):
+                    value = pieces.get(w[at - n : at])
+                    if value is not None:
+                        got = (best[-n][0] + value, best[-n][1] + 1)
+                        if top is None or got[0] > top[0] or (got[0] == top[0] and got[1] < top[1]):
+                            top = got
+                if len(kids) == 1:
+                    mine = group
+                    best.append(top)
+                    if len(best) > 4 * longest:
+                        del best[:-longest]
+                else:
+                    todo.append((group, at, [*best[-longest:], top]))
+
+
 class Counter:
     """Counts of whole texts; words once counted are kept, up to a number of them."""
 
