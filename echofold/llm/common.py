@@ -159,12 +159,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def only_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``; a repeated id leaves one row. Rows without an id stay."""
+    """Rows of ``docs`` whose id is in ``ids``. Rows without an id stay.
+
+    A repeated id leaves one row, that of the least hash over all columns, so
+    the same one each time; equal rows are one.
+    """
     kept = ids.select(F.col(ids.columns[0]).alias("__id")).where("__id is not null").distinct()
     with_id = docs.join(kept, docs[id_col] == kept["__id"], "left_semi")
     n = docs.select(F.count(id_col).alias("n"), F.count_distinct(id_col).alias("d")).first()
     if n["n"] != n["d"]:
-        with_id = with_id.dropDuplicates([id_col])
+        marked = docs.withColumn("__mark", F.xxhash64(*docs.columns))
+        least = marked.groupBy(F.col(id_col).alias("__id")).agg(F.min("__mark").alias("__least")).where("__id is not null")
+        kept = kept.join(least, "__id")
+        with_id = marked.join(kept, (marked[id_col] == kept["__id"]) & (marked["__mark"] == kept["__least"]), "left_semi").drop("__mark").dropDuplicates([id_col])
     return with_id.unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from echofold.llm import linededup, mixing, packing, sharding, simhash, tokens, toxicity
+from echofold.llm import common, linededup, mixing, packing, sharding, simhash, tokens, toxicity
 
 from .conftest import SCHEMA, prose, rows_of
 from .test_dedup import bits, closed, line_dedup
@@ -235,6 +235,16 @@ def test_token_counts(spark, texts, vocabulary):
         assert got[i] == (len(w), sum(vocabulary.alone(x) for x in w))
 
 
+def test_token_counts_of_long_and_branching_words(vocabulary):
+    rng = random.Random(41)
+    stem = "".join(rng.choice("abcdeinrst中é") for _ in range(3000))
+    words = [stem[:n] for n in (1, 40, 63, 64, 65, 700, 2999)] + [stem[:n] + "".join(rng.choice("aeéx") for _ in range(m)) for n, m in ((30, 5), (64, 80), (1500, 1), (1500, 9), (2990, 300))]
+    words += [prose(rng, 1) for _ in range(200)]
+    words = sorted(set(words))
+    assert tokens.counts(words, vocabulary).tolist() == [vocabulary.alone(w) for w in words]
+    assert tokens.counts(["x" * 200_000], vocabulary).tolist() == [vocabulary.alone("x" * 200_000)]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 1 << 40))
 def test_permutation(n, seed):
@@ -294,6 +304,27 @@ def test_toxicity_on_held_out_misspellings():
     assert model.score(["", None, "  "]).tolist() == [0, 0, 0]
 
 
+def test_unknown_words_count_each():
+    texts = ["aa bb cc aa", "", "Aa éé"]
+    marks = toxicity.word_marks(texts)
+    assert len(marks) == 6 and marks[0] == marks[3] == marks[4] and len(set(marks.tolist())) == 4
+    table = np.zeros(toxicity.BUCKETS)
+    words = [prose(random.Random(i), 1) + str(i) for i in range(30)] * 2
+    value, doc = toxicity.word_values([" ".join(words)], table)
+    window, _, value = toxicity.distinct(*toxicity.windows(doc), value, toxicity.word_marks([" ".join(words)]))
+    runs = [words[:24], words[24:48], words[48:]]
+    assert np.bincount(window).tolist() == [len(set(r)) for r in runs] and not value.any()
+
+
+def test_a_repeated_id_leaves_the_same_row(spark):
+    rows = [(1, "a", "en", "s0", 1), (1, "b", "en", "s0", 1), (1, "b", "en", "s0", 1), (2, "c", "en", "s1", 1), (None, "d", "en", "s1", 1)]
+    seen = []
+    for part in (1, 3):
+        docs = spark.createDataFrame(rows[::-1] if part == 3 else rows, SCHEMA).repartition(part)
+        seen.append(sorted((r["doc_id"] or 0, r["text"]) for r in common.only_ids(docs, docs.select("doc_id"), "doc_id").collect()))
+    assert seen[0] == seen[1] and [x[0] for x in seen[0]] == [0, 1, 2]
+
+
 def test_toxicity_reads_whole_texts():
     rng = random.Random(8)
     model = toxicity.train(*toxic_texts(rng, 600), steps=150)
