@@ -332,7 +332,7 @@ def _boundaries(out: Lexed, source: str, starts: list[int]) -> list[int]:
 
 
 RULES = ("exact-clone", "near-clone", "structural-clone", "semantic-clone")
-SIGILS = ("echofold:", "ef:", "dl:")
+SIGILS = ("echofold:", "ef:")
 VERBS = {"accept": "accept", "accept:this": "accept:this", "accept:next": "accept:next", "disable": "disable", "enable": "enable"}
 
 

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Up to so many edges are united on the driver: some megabytes.
-ON_DRIVER = 200_000
-
 
 def checkpoint_folder(spark: SparkSession) -> None:
     """Uses spark.checkpoint.dir; makes up a folder in local mode alone."""
@@ -31,18 +29,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", on_driver: int = ON_DRIVER) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; a component is named by its smallest node.
 
-    Up to ``on_driver`` edges, counted first, are united on the driver. Beyond
-    that, each round every node takes the smallest label among itself and its
-    neighbours, then the label of its label, until nothing changes; labels are
-    checkpointed, edges are read from the checkpoint made at the start. Loops
-    and null nodes are left out; no edges give no nodes.
+    Every part of the edges is first brought down to the stars of its own
+    components, wherever it lies. Then, each round, every node takes the smallest
+    label among itself and its neighbours, then the label of its label, until
+    nothing changes; labels are checkpointed, edges are read from the checkpoint
+    made at the start. Loops and null nodes are left out; no edges give no nodes.
     """
-    one = cut_lineage(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
-    if one.count() <= on_driver:
-        return _united(one)
+    one = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    kind = one.schema["a"].dataType.simpleString()
+    one = cut_lineage(one.mapInPandas(_stars, f"a {kind}, b {kind}"))
     both = cut_lineage(one.union(one.select("b", "a")).toDF("a", "b"))
     label = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
@@ -56,21 +54,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", on_driver: int = ON
             return label
 
 
-def _united(edges: DataFrame) -> DataFrame:
-    kind = edges.schema["a"].dataType.simpleString()
-    rows = edges.toPandas()
-    nodes, code = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), return_inverse=True)
-    parent = np.arange(len(nodes))
-    u, v = code[: len(rows)], code[len(rows) :]
-    while len(u):
-        while not np.array_equal(parent[parent], parent):
-            parent = parent[parent]
-        lo, hi = np.minimum(parent[u], parent[v]), np.maximum(parent[u], parent[v])
-        u, v = u[lo != hi], v[lo != hi]
-        np.minimum.at(parent, hi[lo != hi], lo[lo != hi])
-    got = pd.DataFrame({"node": nodes, "component": nodes[parent] if len(nodes) else nodes})
-    spark = edges.sparkSession
-    return spark.createDataFrame(got, f"node {kind}, component {kind}") if len(got) else spark.createDataFrame([], f"node {kind}, component {kind}")
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each batch's components as edges from their smallest nodes."""
+    for rows in batches:
+        nodes, code = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), return_inverse=True)
+        parent = np.arange(len(nodes))
+        u, v = code[: len(rows)], code[len(rows) :]
+        while len(u):
+            while not np.array_equal(parent[parent], parent):
+                parent = parent[parent]
+            lo, hi = np.minimum(parent[u], parent[v]), np.maximum(parent[u], parent[v])
+            u, v = u[lo != hi], v[lo != hi]
+            np.minimum.at(parent, hi[lo != hi], lo[lo != hi])
+        leaf = np.flatnonzero(parent != np.arange(len(nodes)))
+        yield pd.DataFrame({"a": nodes[parent[leaf]], "b": nodes[leaf]})
 
 
 def interval_union(spans: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:

@@ -20,7 +20,16 @@ def split_lines(text: Column) -> Column:
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose scan has fewer parts than there are cores, parted anew: few row groups would leave cores idle.
+
+    Large tables have more parts than that and stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def kind(word: Column) -> Column:

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import components, repeats, reporting, rolling, semantic, structural, text
+from ..operators import components, minhash, repeats, reporting, rolling, semantic, structural, text
 from ..operators.components import cut_lineage
 from . import detect as plan
 
-K, SIZE, THETA, TAU, CAP = 10, 50, 0.8, 0.4, 8192
+K, SIZE, THETA, TAU, CAP, HASHES = 10, 50, 0.8, 0.4, 8192, 64
 REPORT = plan.Settings(tokens=30, similarity=0.8)
 
 
 def docs(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return text.spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def segs(spark, sf):
@@ -146,19 +146,19 @@ def structural_groups(spark, sf):
     return got.withColumn("p", F.min(F.struct("unit", "start")).over(Window.partitionBy("component"))).select(F.col("p.unit").alias("group_unit"), F.col("p.start").alias("group_start"), "unit", "start", F.round("similarity", 9).alias("similarity"))
 
 
+def _signatures(spark, sf):
+    """(doc_id, signature) over the distinct shingles of a document's lines; a shingle's value is 60 bits of its md5."""
+    s = segs(spark, sf).select("unit", F.explode(structural.runs(F.col("raw"), structural.SHINGLE)).alias("g")).distinct()
+    value = F.conv(F.substring(F.md5("g"), 1, 15), 16, 10).cast("long")
+    return minhash.signatures(s.select(F.col("unit").alias("doc_id"), value.alias("x")), "doc_id", HASHES)
+
+
 def minhash_signatures(spark, sf):
-    words = docs(spark, sf).select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    sh = words.select("doc_id", structural.shingles(F.col("w")).alias("s"))
-    return sh.select("doc_id", hashing.minhash_udf()("s").alias("signature"))
+    return _signatures(spark, sf)
 
 
 def minhash_pairs(spark, sf):
-    words = docs(spark, sf, "benchmark").select("item_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    sh = words.select("item_id", structural.shingles(F.col("w"), 2).alias("s")).where(F.size("s") > 0)
-    sig = cut_lineage(sh.select("item_id", hashing.minhash_udf()("s").alias("g")))
-    x, y = sig.toDF("a", "ga"), sig.toDF("b", "gb")
-    same = F.size(F.filter(F.zip_with("ga", "gb", lambda p, q: p == q), lambda e: e)) / F.size("ga")
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", same.alias("estimate")).where("estimate > 0")
+    return minhash.pairs(cut_lineage(_signatures(spark, sf)), "doc_id", HASHES, THETA).withColumn("estimate", F.round("estimate", 6))
 
 
 def exact_document_groups(spark, sf):
@@ -324,6 +324,31 @@ cosines as (select x.id as a, y.id as b, list_cosine_similarity(x.v, y.v) as cos
 near as (select a, b, cosine, cast(row_number() over (partition by a order by round(cosine, 12) desc, b) as integer) as rank from cosines qualify rank <= 10)"""
 _PAIRS = f"{_NEAR}, prs as (select least(a, b) as a, greatest(a, b) as b, max(cosine) as cosine from near where round(cosine, 12) >= {TAU} group by 1, 2)"
 
+_A, _B = hashing.minhash_family(HASHES)
+_MINHASH = f"""{_SEGS},
+gs as (select distinct unit, array_to_string(raw[off + 1:off + {structural.SHINGLE}], ' ') as g from (select unit, raw, unnest(range(0, len(raw) - {structural.SHINGLE - 1})) as off from seg where len(raw) >= {structural.SHINGLE})),
+xs as (select unit as doc_id, cast(cast('0x' || substring(md5(g), 1, 15) as ubigint) as uhugeint) as x from gs),
+fam as (select unnest(range(0, {HASHES})) as i, unnest([{', '.join(f"cast('{int(a)}' as uhugeint)" for a in _A)}]) as a, unnest([{', '.join(f"cast('{int(b)}' as uhugeint)" for b in _B)}]) as b),
+hs as (select doc_id, i, (a * x + b) % 18446744073709551616 as h from xs, fam),
+fs as (select doc_id, i, (h % 2305843009213693952) + (h // 2305843009213693952) as h from hs),
+sig as (select doc_id, i, min(case when h >= 2305843009213693951 then h - 2305843009213693951 else h end) as v from fs group by doc_id, i)"""
+
+
+def _rolled(lane: str) -> str:
+    """r: the greedy groups of equal windows: of what is left of a bucket, the first is a seed and takes all that don't overlap it by over half."""
+    over = f"x.u = ps[1].u and {SIZE} - abs(ps[1].s - x.s) > {SIZE // 2}"
+    return f"""{_SEQ},
+nsq as (select unit, raw, list_transform(raw, lambda w: {_NORM}) as norm from seq),
+win as (
+  select unit, off, md5(array_to_string({lane}[off + 1:off + {SIZE}], ' ')) as h
+  from (select unit, {lane}, unnest(range(0, len({lane}) - {SIZE - 1})) as off from nsq where len({lane}) >= {SIZE})),
+bk as (select h, list(struct_pack(u := unit, s := off) order by unit, off) as ps from win group by h having count(*) > 1),
+r as (
+  select h, ps, ps[1] as seed, ps[1:0] as mine from bk
+  union all
+  select h, list_filter(ps[2:], lambda x: {over}) as ps, ps[1] as seed, list_concat(ps[1:1], list_filter(ps[2:], lambda x: not ({over}))) as mine from r where len(ps) > 0)"""
+
+
 SQL = {
     "doc_scan_capped": f"select doc_id as unit, cast(strlen(text) as integer) as n_bytes, strlen(text) > {CAP} as degraded from documents",
     "exclude_filter": "select doc_id, source from documents where not contains(source, 'src1') and not contains(source, '7')",
@@ -360,6 +385,23 @@ SQL = {
         x as (select p, len(f) as n, unnest(f) as g from rep),
         met as (select a.p as pa, b.p as pb, a.n as na, b.n as nb, count(*) as c from x a join x b on a.g = b.g and a.p < b.p group by all)
         select pa[1] as unit_a, pa[2] as start_a, pb[1] as unit_b, pb[2] as start_b, round(c / (na + nb - c), 6) as similarity from met where c / (na + nb - c) >= {THETA}""",
+    "minhash_signatures": f"with {_MINHASH} select doc_id, list(cast(v as bigint) order by i) as signature from sig group by doc_id",
+    "minhash_pairs": f"""with {_MINHASH},
+        one as (select doc_id, list(v order by i) as s from sig group by doc_id),
+        rep as (select s, min(doc_id) as doc_id, count(*) as copies from one group by s),
+        part as (select sig.doc_id, i, v from sig join rep using (doc_id)),
+        met as (select x.doc_id as a, y.doc_id as b, count(*) as c from part x join part y on x.i = y.i and x.v = y.v and x.doc_id < y.doc_id group by all having count(*) >= {THETA} * {HASHES})
+        select a, b, p.copies as copies_a, q.copies as copies_b, round(c / {HASHES}, 6) as estimate from met join rep p on p.doc_id = a join rep q on q.doc_id = b""",
+    "rolling_exact_groups": f"""with recursive {_rolled('raw')}
+        select seed.u as seed_unit, cast(seed.s as integer) as seed_start, cast(len(mine) as bigint) as members from r where len(mine) > 1""",
+    "rolling_near_groups": f"""with recursive {_rolled('norm')},
+        g as (select h, seed, unnest(mine) as m from r where len(mine) > 1),
+        st as (select h, seed, list_sort(list_distinct(seq.raw[m.s + 1:m.s + {SIZE}])) as s from g join seq on seq.unit = m.u),
+        kd as (select h, seed, s, count(*) as c from st group by all),
+        pr as (select x.h, x.seed, len(list_intersect(x.s, y.s)) as n, len(x.s) as a, len(y.s) as b, case when x.s = y.s then x.c * (x.c - 1) else x.c * y.c end as w from kd x join kd y on x.h = y.h and x.seed = y.seed),
+        mn as (select h, seed, sum(n / (a + b - n) * w) / sum(w) as similarity from pr group by h, seed),
+        sz as (select h, seed, cast(sum(c) as bigint) as members from kd group by h, seed)
+        select seed.u as seed_unit, cast(seed.s as integer) as seed_start, members, round(similarity, 9) as similarity from mn join sz using (h, seed) where similarity >= {THETA}""",
     "exact_document_groups": "select doc_id, min(doc_id) over w as first, count(*) over w as copies from documents window w as (partition by md5(text)) qualify copies > 1",
     "knn_top_k": f"with {_NEAR} select a, b, rank, round(cosine, 6) as cosine from near",
     "cosine_pairs": f"with {_PAIRS} select a, b, round(cosine, 6) as cosine from prs",
