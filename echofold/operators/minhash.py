@@ -26,7 +26,7 @@ def signatures(values: DataFrame, id_col: str, hashes: int = 256, seed: int = 42
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.dropna().sort_values(id_col, kind="stable")
+            pdf = pdf.sort_values(id_col, kind="stable")
             code = pd.factorize(pdf[id_col])[0]
             x = pdf["x"].to_numpy(dtype=np.int64).view(U)
             cuts = np.flatnonzero(np.diff(code)) + 1
@@ -34,7 +34,8 @@ def signatures(values: DataFrame, id_col: str, hashes: int = 256, seed: int = 42
             made = [minhash(x[i:j], a, b).view(np.int64) for i, j in zip(ends, ends[1:])]
             yield pd.DataFrame({id_col: pdf[id_col].iloc[ends[:-1]].to_numpy(), "part": pd.Series(made, dtype=object)})
 
-    got = values.select(id_col, "x").mapInPandas(partial, f"{id_col} {kind}, part array<long>")
+    # without nulls pandas keeps the values whole numbers
+    got = values.select(id_col, "x").dropna().mapInPandas(partial, f"{id_col} {kind}, part array<long>")
     least = [F.min(F.get("part", F.lit(i))).alias(f"h{i}") for i in range(hashes)]
     return got.groupBy(id_col).agg(*least).select(id_col, F.array(*[f"h{i}" for i in range(hashes)]).alias("signature"))
 
