@@ -64,7 +64,9 @@ def clear_names(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one whose scan has fewer parts than there are cores is parted anew, larger ones stay where they are."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 @F.pandas_udf(T.IntegerType())

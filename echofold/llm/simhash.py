@@ -35,7 +35,7 @@ U = np.uint64
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         x = self[word] = hashlib.md5(word.encode()).digest()
         return x

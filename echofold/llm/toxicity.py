@@ -29,6 +29,7 @@ PER_CLASS = 1_200
 STEPS = 300
 WINDOW = 24
 SPACE = 32
+SLICE = 250_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -92,7 +93,7 @@ class Model:
         start = 0
         while start < len(texts):
             size, end = 0, start
-            while end < len(texts) and (end == start or size < 1_000_000):
+            while end < len(texts) and (end == start or size < SLICE):
                 size += len(texts[end] or "")
                 end += 1
             out[start:end] = self._some(texts[start:end])
