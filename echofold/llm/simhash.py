@@ -9,6 +9,9 @@ fingerprints within r bits agree in some segment up to r/m bits, so all segment
 values within that small ball are looked up in a table of the segment, and
 complete distances are verified. With more fingerprints segments are fewer and
 longer: eight of 16 bits up to some hundreds of thousands, then six, five, four.
+A table too large for a task is parted by blocks of its segment: of p + q blocks,
+values within p bits have q equal, so a table for each q of them, parted by these,
+meets all, and no fingerprint is copied to the parts around its own.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -117,19 +121,20 @@ def segments(n: int, radius: int) -> list[tuple[int, int]]:
     return cuts(min((SEGMENTS, 6, 5, 4), key=cost))
 
 
-def matches(low: np.ndarray, up: np.ndarray, seg: np.ndarray, own: np.ndarray, per_segment: int, radius: int, size: int = SEG_BITS, earlier: list[tuple[int, int]] | None = None):
+def matches(low: np.ndarray, up: np.ndarray, seg: np.ndarray, own: np.ndarray, per_segment: int, radius: int, size: int = SEG_BITS, earlier: list[tuple[int, int]] | None = None, masks: np.ndarray | None = None):
     """Edges that join all of these fingerprints within ``radius`` that share a ball; ``own`` marks those that probe.
 
     Each pair is looked up from the larger segment value; the edges are those
     of stars around the smallest member, one for each joined row, not all pairs.
-    With ``earlier`` segments given, a third array counts each row's pairs that
-    none of those segments meets.
+    With ``earlier`` segments given, only pairs that none of those segments
+    meets are joined, and a third array counts each row's. ``masks`` are those
+    of the ball to look up, by default all.
     """
     order = np.argsort(seg, kind="stable")
     low, up, seg, own = low[order], up[order], seg[order], own[order]
     forest, count = common.Forest(len(seg)), np.zeros(len(seg), np.int64)
     probe = np.flatnonzero(own)
-    for mask in ball(size, per_segment):
+    for mask in ball(size, per_segment) if masks is None else masks:
         other = seg[probe] ^ mask
         ask = probe if mask == 0 else probe[other < seg[probe]]
         other = seg[ask] ^ mask
@@ -150,13 +155,14 @@ def matches(low: np.ndarray, up: np.ndarray, seg: np.ndarray, own: np.ndarray, p
             a, b, d = a[near], b[near], d[near]
             near = d + np.bitwise_count(up[a] ^ up[b]) <= radius
             a, b = a[near], b[near]
-            forest.join(a, b)
             if earlier is not None:
                 apart = np.stack([low[a] ^ low[b], up[a] ^ up[b]], axis=1)
                 new = np.ones(len(a), bool)
                 for start, bits in earlier:
                     new &= np.bitwise_count(bits_of(apart, start, bits)) > per_segment
-                count += np.bincount(a[new], minlength=len(seg)) + np.bincount(b[new], minlength=len(seg))
+                a, b = a[new], b[new]
+                count += np.bincount(a, minlength=len(seg)) + np.bincount(b, minlength=len(seg))
+            forest.join(a, b)
             cut = to
     root = forest.roots(np.arange(len(seg)))
     member = np.flatnonzero(root != np.arange(len(seg)))
@@ -167,42 +173,59 @@ def matches(low: np.ndarray, up: np.ndarray, seg: np.ndarray, own: np.ndarray, p
     return order[member], order[root[member]], back
 
 
-def _split(n: int, per_task: int, per_segment: int, size: int) -> int:
-    """Leading bits of a segment by which its table is parted, so that no part has many more rows than ``per_task``."""
-    bits = 0
-    while bits < size - 2 and n * len(ball(bits, per_segment)) >> bits > per_task:
-        bits += 1
-    return bits
+@lru_cache(maxsize=None)
+def tables(size: int, per_segment: int, alike: int) -> list[tuple[int, np.ndarray]]:
+    """(kept, masks) by which a segment of ``size`` bits is looked up in parts, each of equal ``segment & kept``.
+
+    Of ``per_segment + alike`` blocks of the segment, values within ``per_segment``
+    bits have ``alike`` equal. There is a table for each choice of so many blocks;
+    every mask of the ball belongs to that of the first blocks it leaves alone.
+    """
+    blocks = max(1, per_segment + alike)
+    ends = [size * i // blocks for i in range(blocks + 1)]
+    block = np.array([(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])])
+    every = ball(size, per_segment)
+    same = (every[:, None] & block) == 0
+    first = (same & (np.cumsum(same, axis=1) <= alike)) @ block
+    return [(int(kept), every[first == kept]) for kept in (block[list(c)].sum() for c in combinations(range(blocks), alike))]
+
+
+def _alike(n: int, per_task: int, per_segment: int, size: int) -> int:
+    """The least number of equal blocks by which a segment's tables are parted so that no part has many more rows than ``per_task``."""
+    alike = 0
+    while n >> min(kept.bit_count() for kept, _ in tables(size, per_segment, alike)) > per_task and per_segment + alike < size:
+        alike += 1
+    return alike
 
 
 def links(prints: DataFrame, radius: int = RADIUS, per_task: int = 400_000, many: int | None = None) -> DataFrame:
     """(u, v, n) of ids of distinct fingerprints (id, low, up): edges that join all within ``radius``, and, where v is null, n of the links of u.
 
-    A fingerprint lives in the part of its segment's leading bits and is sent
-    to the parts whose bits are near; only those that live in a part probe, so
-    that a segment meets each pair once, and the first segment that meets it counts it.
+    With more than ``per_task`` fingerprints a segment has several tables, each
+    parted by the blocks it takes as equal, and a fingerprint is sent once to
+    each: some 24 rows with one such block, some 50 to 60 with two. A pair is met once in
+    a segment, and the first segment that meets it counts and joins it.
     """
     n = prints.count()
     cuts = segments(many or n, radius)
     per_segment = radius // len(cuts)
+    alike = _alike(n, per_task, per_segment, min(b for _, b in cuts))
     code = F.array("low", "up")
-    size = F.array(*[F.lit(b) for _, b in cuts])
-    rows = prints.select("id", "low", "up", F.posexplode(F.array(*[bits_column(code, a, b) for a, b in cuts])).alias("k", "s"))
-    bits = _split(n, per_task, per_segment, min(b for _, b in cuts))
-    lead = F.expr("shiftright(s, __size)") if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("__size", F.get(size, F.col("k")) - bits).withColumn("home", lead)
-    near = F.array(*[F.lit(int(m)).cast("long") for m in ball(bits, per_segment)])
-    rows = rows.withColumn("m", F.explode(near)).withColumn("part", F.col("home").bitwiseXOR(F.col("m")))
+    kept = [(k, i, bits_column(code, a, b).bitwiseAND(F.lit(x).cast("long"))) for k, (a, b) in enumerate(cuts) for i, (x, _) in enumerate(tables(b, per_segment, alike))]
+    which = [(k, i) for k, i, _ in kept]
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        ids, k = pdf["id"].to_numpy(), int(key[0])
-        a, b, count = matches(pdf["low"].to_numpy().view(U), pdf["up"].to_numpy().view(U), pdf["s"].to_numpy(), pdf["own"].to_numpy(), per_segment, radius, cuts[k][1], cuts[:k])
+        k, i = which[int(key[0])]
+        start, size = cuts[k]
+        ids, codes = pdf["id"].to_numpy(), pdf[["low", "up"]].to_numpy().view(U)
+        masks = tables(size, per_segment, alike)[i][1]
+        a, b, count = matches(codes[:, 0], codes[:, 1], bits_of(codes, start, size), np.ones(len(ids), bool), per_segment, radius, size, cuts[:k], masks)
         some = np.flatnonzero(count)
         edges = pd.DataFrame({"u": ids[a], "v": ids[b], "n": 0}).astype({"v": "Int64"})
         return pd.concat([edges, pd.DataFrame({"u": ids[some], "v": pd.array([None] * len(some), "Int64"), "n": count[some]})])
 
-    told = rows.select("id", "low", "up", "s", "k", "part", (F.col("m") == 0).alias("own"))
+    told = prints.select("id", "low", "up", F.posexplode(F.array(*[x for _, _, x in kept])).alias("k", "part"))
     return told.groupBy("k", "part").applyInPandas(work, "u long, v long, n long")
 
 

@@ -87,6 +87,37 @@ def test_simhash_counts_every_link_once():
         assert got.tolist() == want.tolist() and want.sum() > 100
 
 
+def test_simhash_tables_part_without_copies_around(spark):
+    for size, r in ((16, 2), (21, 3), (22, 3), (26, 4), (16, 0)):
+        for alike in range(4):
+            every = simhash.tables(size, r, alike)
+            assert sorted(np.concatenate([m for _, m in every]).tolist()) == sorted(simhash.ball(size, r).tolist())
+            assert all(not (m & kept).any() for kept, m in every)
+    rng = np.random.default_rng(7)
+    codes = np.repeat(rng.integers(0, 1 << 63, (500, 2)).astype(np.uint64), 4, axis=0)
+    for row in codes:
+        for b in rng.integers(0, 128, rng.integers(0, 14)):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    codes = np.unique(codes, axis=0)
+    d = np.bitwise_count(codes[:, None, :] ^ codes[None, :, :]).sum(axis=2)
+    want = (d <= 23).sum(axis=1) - 1
+    root = np.array(closed(len(codes), lambda i, j: d[i, j] <= 23))
+    prints = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(codes.view(np.int64))], "id long, low long, up long")
+    for per_task, most in ((10**6, 8), (100, 24), (20, 48)):
+        got = simhash.links(prints, per_task=per_task)
+        plan = got._jdf.queryExecution().analyzed().children().head()
+        sent = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan).count()
+        assert sent <= most * len(codes)
+        rows = got.collect()
+        count, tree = np.zeros(len(codes), int), common.Forest(len(codes))
+        for u, v, n in rows:
+            count[u] += n
+        edges = np.array([(u, v) for u, v, _ in rows if v is not None])
+        tree.join(edges[:, 0], edges[:, 1])
+        assert count.tolist() == want.tolist() and want.sum() > 1000
+        assert tree.roots(np.arange(len(codes))).tolist() == root.tolist()
+
+
 def test_perfect_hash_is_minimal_and_exact():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 63, 5000):
