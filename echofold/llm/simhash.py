@@ -203,7 +203,7 @@ def links(prints: DataFrame, radius: int = RADIUS, per_task: int = 400_000, many
 
     With more than ``per_task`` fingerprints a segment has several tables, each
     parted by the blocks it takes as equal, and a fingerprint is sent once to
-    each: some 24 rows with one such block, some 50 to 60 with two. A pair is met once in
+    each: 24 or 25 rows with one such block, 48 to 84 with two. A pair is met once in
     a segment, and the first segment that meets it counts and joins it.
     """
     n = prints.count()
